@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from seriesgrove.llm.bpe import op2_bpe_encode
+from seriesgrove.llm.dedup import OP9_SQL, op9_near_dedup
 from seriesgrove.llm.media import op3_media_columns
+from seriesgrove.llm.mixing import op6_mix_sources
 from seriesgrove.llm.repetition import op10_repetition_rules
 from seriesgrove.llm.secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_media_columns, op10_repetition_rules)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_encode, op3_media_columns, op6_mix_sources, op9_near_dedup, op10_repetition_rules)}
+SQL: dict[str, str] = {"op9_near_dedup": OP9_SQL}

@@ -148,14 +148,19 @@ def by_tree(enc: Encoder, text: str, leaf: int = LEAF, window: int = WINDOW) ->
     return concatenate([encode(a, z) for a, z in zip(bounds, bounds[1:], strict=False)], bounds, encode, window)[:, 0]
 
 
-def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str]) -> Iterator[pa.RecordBatch]:
+def _names(keys: list[str], decode: bool) -> list[str]:
+    return [*keys, "n_tokens", "ids", "decoded"][: len(keys) + 2 + decode]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], decode: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
         for b in textops.blocks(batch.column(len(keys)), HELD):
             part = batch.slice(b.first, len(b))
             found = [enc.piece(t.as_py() or "") for t in part.column(len(keys))]
             ids = [x[0] for x in found]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([x[1] for x in found], pa.string())], names=[*keys, "n_tokens", "ids", "decoded"])
+            results = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *([pa.array([x[1] for x in found], pa.string())] if decode else [])]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *results], names=_names(keys, decode))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatch]:
@@ -175,41 +180,41 @@ def _leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         n = batch.num_columns
         at, pieces = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-        rows = [enc.located(p, a).astype("<i8").tobytes() for a, p in zip(at, pieces, strict=True)]
+        rows = [enc.located(p, a).astype("<u4").tobytes() for a, p in zip(at, pieces, strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "_rows"])
 
 
-def _join(table: pa.Table, path: str, keys: list[str]) -> pa.Table:
+def _join(table: pa.Table, path: str, keys: list[str], decode: bool) -> pa.Table:
     """The tokens of one text from the rows of its leaves, once for each copy of the row."""
     enc = encoder(path)
     order = sorted(zip(table["_at"].to_pylist(), range(table.num_rows), strict=True))
     pieces = [table["_piece"][i].as_py() for _, i in order]
-    leaves = [np.frombuffer(table["_rows"][i].as_py(), "<i8").reshape(-1, 3) for _, i in order]
+    leaves = [np.frombuffer(table["_rows"][i].as_py(), "<u4").astype(np.int64).reshape(-1, 3) for _, i in order]
     text = "".join(pieces)
     ids = concatenate(leaves, [a for a, _ in order] + [len(text)], lambda a, z: enc.located(text[a:z], a))[:, 0]
     copies = table["_copies"][0].as_py()
     same = [pa.repeat(table[k][0], copies) for k in keys]
-    results = [pa.scalar(len(ids), pa.int64()), pa.scalar(ids.astype("<u4").tobytes(), pa.binary()), pa.scalar(enc.decode(ids.tolist()), pa.string())]
-    return pa.table([*same, *(pa.repeat(r, copies) for r in results)], names=[*keys, "n_tokens", "ids", "decoded"])
+    results = [pa.scalar(len(ids), pa.int64()), pa.scalar(ids.astype("<u4").tobytes(), pa.binary()), *([pa.scalar(enc.decode(ids.tolist()), pa.string())] if decode else [])]
+    return pa.table([*same, *(pa.repeat(r, copies) for r in results)], names=_names(keys, decode))
 
 
-def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", long: int = LONG, leaf: int = LEAF) -> DataFrame:
-    """keys, n_tokens, ids (binary, little-endian unsigned 32-bit integers) and decoded text of every row.
+def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", long: int = LONG, leaf: int = LEAF, decode: bool = True) -> DataFrame:
+    """keys, n_tokens, ids (binary, little-endian unsigned 32-bit integers) and, unless not asked for, decoded text of every row.
 
     Only texts above `long` are shuffled: equal rows once, then by leaf, then by row.
     """
     names = list(keys)
     kept = [docs.schema[k] for k in names]
-    result = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    result = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    short = docs.where(size <= long).select(*names, F.col(text).alias("_text")).mapInArrow(partial(_whole, path=path, keys=names), result)
+    short = docs.where(size <= long).select(*names, F.col(text).alias("_text")).mapInArrow(partial(_whole, path=path, keys=names, decode=decode), result)
     rows = docs.where(size > long).groupBy(*names, F.sha2(text, 256).alias("_sha")).agg(F.count("*").alias("_copies"), F.first(text).alias("_text"))
     pieces = T.StructType([*kept, T.StructField("_sha", T.StringType()), T.StructField("_copies", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_piece", T.StringType())])
     cut = rows.mapInArrow(partial(_cut, leaf=leaf), pieces).repartition("_sha", "_at")
     done = cut.mapInArrow(partial(_leaves, path=path), T.StructType([*pieces, T.StructField("_rows", T.BinaryType())]))
 
     def join_rows(table: pa.Table) -> pa.Table:
-        return _join(table, path, names)
+        return _join(table, path, names, decode)
 
     joined = done.groupBy(*names, "_sha").applyInArrow(join_rows, result)
     return short.unionByName(joined)

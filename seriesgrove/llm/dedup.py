@@ -11,9 +11,11 @@ sets are compared as well as large ones. Four registers make a band.
    class. Of its candidates each class keeps the one with the highest Jaccard
    estimate, corrected for chance collisions of registers; full sets confirm it.
 3. Components of the confirmed links join most classes. Any two classes that
-   share a bucket but are in different components still are candidates; those
-   whose corrected estimate is not well below the threshold are confirmed on
-   full sets. Candidates within one component could not change it.
+   share a bucket but are in different components still are candidates. They get
+   sketches of 512 buckets, where the least hashes are a sample of the union
+   without replacement, for small sets nearly all of it; those whose corrected
+   estimate is not well below the threshold are confirmed on full sets.
+   Candidates within one component could not change it.
 
 With 32 bands of 4, two sets at the threshold of 0.75 are missed with a
 probability of about 5e-6.
@@ -44,9 +46,13 @@ BANDS = BUCKETS // ROWS
 WORDS = 5
 #: The similarity as a fraction of integers, and how many standard deviations an estimate may be below it.
 OVER, UNDER, SIGMAS = 75, 100, 4.5
+FINE_BITS = 9
 NO_ID = (1 << 63) - 1
 
-_bounds = (np.arange(BUCKETS + 1, dtype=object) << (64 - BUCKET_BITS))[:-1].astype(np.uint64)
+
+@cache
+def _bounds(bits: int) -> np.ndarray:
+    return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
 
 @cache
@@ -60,19 +66,30 @@ def lenders() -> np.ndarray:
     return order
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """The registers (leading zeros, then mantissa) of a sorted array of distinct hashes that is not empty."""
-    at = np.searchsorted(hashes, _bounds)
+def registers(hashes: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The registers (leading zeros, then mantissa) of a sorted array of distinct hashes that is not empty, and which buckets hold any."""
+    at = np.searchsorted(hashes, _bounds(bits))
     filled = at < np.append(at[1:], len(hashes))
-    least = hashes[np.minimum(at, len(hashes) - 1)] << np.uint64(BUCKET_BITS)
+    least = hashes[np.minimum(at, len(hashes) - 1)] << np.uint64(bits)
     _, exponent = np.frexp(least.astype(np.float64))
-    zeros = np.clip(64 - exponent, 0, 63).astype(np.uint64)
-    mantissa = (least << np.minimum(zeros, np.uint64(62)) << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    out = (zeros << np.uint64(MANTISSA) | mantissa).astype("<u2")
+    zeros = np.clip(64 - exponent, 0, 62).astype(np.uint64)
+    mantissa = (least << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
+    return (zeros << np.uint64(MANTISSA) | mantissa).astype("<u2"), filled
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """128 registers in 32 longs; empty buckets borrow."""
+    out, filled = registers(hashes)
     if not filled.all():
         order = lenders()
         out = out[order[np.arange(BUCKETS), np.argmax(filled[order], axis=1)]]
-    return out
+    return out.view("<i8")
+
+
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 registers, one more than their value; empty buckets have 0."""
+    out, filled = registers(hashes, FINE_BITS)
+    return np.where(filled, out + np.uint16(1), np.uint16(0)).astype("<u2")
 
 
 @cache
@@ -104,7 +121,7 @@ def _sign(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordB
                 if len(s):
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     chances.append(chance(rounded(len(s))))
-                    regs.append(registers(s).view("<i8").tolist())
+                    regs.append(sketch(s).tolist())
                 else:
                     digest.append(None)
                     chances.append(None)
@@ -122,12 +139,16 @@ def _folded(by: int):
     return lambda x: x.bitwiseOR(F.shiftrightunsigned(x, by))
 
 
+def _lanes(longs):
+    """How many 16-bit lanes of an array of longs are not 0."""
+    for by in (8, 4, 2, 1):  # the lowest bit of a lane becomes 1 unless all its bits are 0
+        longs = F.transform(longs, _folded(by))
+    return F.aggregate(longs, F.lit(0), lambda s, x: s + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
+
+
 def estimate(a: str, b: str):
     """The Jaccard estimate of two sketches, corrected for the chance of collisions."""
-    lanes = F.zip_with(f"{a}.regs", f"{b}.regs", lambda x, y: x.bitwiseXOR(y))
-    for by in (8, 4, 2, 1):  # the lowest bit of a 16-bit lane becomes 1 unless all its bits are 0
-        lanes = F.transform(lanes, _folded(by))
-    differ = F.aggregate(lanes, F.lit(0), lambda s, x: s + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001))))
+    differ = _lanes(F.zip_with(f"{a}.regs", f"{b}.regs", lambda x, y: x.bitwiseXOR(y)))
     c = F.sqrt(F.col(f"{a}.chance") * F.col(f"{b}.chance"))
     return (1 - differ / BUCKETS - c) / (1 - c)
 
@@ -136,7 +157,22 @@ def possible(a: str, b: str):
     """True unless sizes or estimate rule a link out."""
     j = OVER / UNDER
     near = estimate(a, b) >= j - SIGMAS * (j * (1 - j) / BUCKETS) ** 0.5
-    return (UNDER * F.least(f"{a}.n", f"{b}.n") >= OVER * F.greatest(f"{a}.n", f"{b}.n")) & near
+    return sized(a, b) & near
+
+
+def sized(a: str, b: str):
+    return UNDER * F.least(f"{a}.n", f"{b}.n") >= OVER * F.greatest(f"{a}.n", f"{b}.n")
+
+
+def finely_possible(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """False where the fine estimate rules a link out: the buckets that either fills are a sample of the union without replacement."""
+    j = OVER / UNDER
+    equal = np.count_nonzero(others == one, axis=1)
+    empty = np.count_nonzero((others | one) == 0, axis=1)
+    filled = len(one) - empty
+    union = np.maximum(filled, (size + sizes) / (1 + j))  # of two sets at the threshold
+    spread = np.sqrt(j * (1 - j) / filled * (1 - filled / (union + 1)))
+    return (equal - empty) / filled >= j - SIGMAS * spread  # chance collisions only raise the share of equal registers
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -165,6 +201,56 @@ def set_of(text: str, lower: bool = True) -> np.ndarray:
     return np.zeros(0, np.uint64)
 
 
+def _fine(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_sketch(set_of(t.as_py(), lower)).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "fine"])
+
+
+#: Classes of a bucket that are compared with each other in one place; larger buckets are cut into blocks.
+BLOCK = 1024
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, key, i, j, block, id, label, n, regs, fine), sorted by the first four: pairs of different labels that may be links."""
+
+    def of(g: np.ndarray, regs: np.ndarray, fine: np.ndarray) -> pa.RecordBatch | None:
+        us, vs = [], []
+        band, i, j = int(g[0, 0]), g[0, 2], g[0, 3]
+        block, ids, labels, n = g[:, 4], g[:, 5], g[:, 6], g[:, 7]
+        for a in np.flatnonzero(block == i):
+            ok = (block == j) & (labels != labels[a]) & (UNDER * np.minimum(n, n[a]) >= OVER * np.maximum(n, n[a]))
+            if i == j:
+                ok &= ids > ids[a]
+            at = np.flatnonzero(ok)
+            if len(at):
+                at = at[finely_possible(fine[a], fine[at], int(n[a]), n[at])]
+                at = at[np.argmax(regs[at] == regs[a], axis=1) == band]  # in the first band that they share
+                us.append(np.full(len(at), ids[a]))
+                vs.append(ids[at])
+        if not us:
+            return None
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        g = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(8)], axis=1)
+        fine = np.frombuffer(b"".join(batch.column(9).to_pylist()), "<u2")
+        rows = g, batch.column(8).flatten().to_numpy().reshape(-1, BANDS), fine.reshape(-1, 1 << FINE_BITS)
+        if held:
+            rows = tuple(np.concatenate([x, y]) for x, y in zip(held.pop(), rows, strict=True))
+        cuts = np.flatnonzero((rows[0][1:, :4] != rows[0][:-1, :4]).any(axis=1)) + 1
+        lo = 0
+        for hi in cuts.tolist():
+            if hi - lo > 1 and (out := of(*(x[lo:hi] for x in rows))) is not None:
+                yield out
+            lo = hi
+        held = [tuple(x[lo:] for x in rows)]
+    for rows in held:
+        if len(rows[0]) > 1 and (out := of(*rows)) is not None:
+            yield out
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, lower: bool) -> DataFrame:
     """The pairs (u, v) that are links by their full sets."""
     one = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
@@ -193,12 +279,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # What is not joined yet.
     labels = components(sure)
     told = near.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
-    apart = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
-    open_ = cut(told.join(apart, ["band", "key"]).join(sketches, "id").select("band", "key", "id", "label", F.struct("n", "chance", "regs").alias("s")))
-    a, b = open_.select("band", "key", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("s").alias("su")), open_.select("band", "key", F.col("id").alias("v"), F.col("label").alias("lv"), F.col("s").alias("sv"))
-    once = F.array_position(F.zip_with("su.regs", "sv.regs", lambda x, y: x == y), True) == F.col("a.band") + 1  # the first band that they share
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & possible("su", "sv") & once
-    others = confirm(a.alias("a").join(b.alias("b"), on).select("u", "v"), texts, lower)
+    apart = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("band", "key", "blocks")
+    told = cut(told.join(apart, ["band", "key"]))
+    some = told.select("id").distinct()
+    fine = texts.join(some, "id").select("id", "text").mapInArrow(partial(_fine, lower=lower), "id bigint, fine binary")
+    fine = cut(sketches.join(fine, "id").select("id", "n", "regs", "fine"))
+    placed = told.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "label").join(fine, "id")
+    placed = placed.select("band", "key", "i", "j", "block", "id", "label", "n", "regs", "fine").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    others = confirm(placed.mapInArrow(_open_pairs, "u bigint, v bigint"), texts, lower)
     final = components(sure.unionByName(others))
     found = classes.select("digest", F.col("id").alias("class_id")).join(final.withColumnRenamed("id", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("label", "class_id").alias("component"))
     own = F.when(F.col("id") != NO_ID, F.col("id"))
@@ -208,10 +297,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: one of each component; of rows that share an id, the first by text."""
-    kept = near_duplicates(docs, id_col, text).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    inside = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return inside.dropDuplicates([id_col])
+    """The rows of docs that stay, with its columns: one of each component.
+
+    Of rows with the same id and text one stays. Rows with the same id and different texts are one document, and stay
+    or go together. Rows without an id are compared by their texts and stay only where no row with an id is like them.
+    """
+    key = textops.fresh(docs.columns, "row_id")
+    digest = textops.fresh([*docs.columns, key], "text_digest")
+    made = F.shiftleft(F.lit(1).cast("long"), 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 3)
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), made)).withColumn(digest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = near_duplicates(keyed, key, text).where("kept").select(F.col(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key, digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

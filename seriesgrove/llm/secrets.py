@@ -66,24 +66,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Merged ranges of the windows with that entropy or more.
 
-    H = log2(w) - (1/w) * sum of c*log2(c); the sum is kept while the window moves.
+    H = log2(w) - (1/w) * sum of c*log2(c); the sum is kept while the window moves, in units of 2**-32, so that it stays
+    exact however long the run is.
     """
     if len(run) < window:
         return []
-    term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    unit = 1 << 32
+    term = [0] + [round(c * math.log2(c) * unit) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
-    total = 0.0
-    most = window * (math.log2(window) - bits) + 1e-9
+    total = 0
+    most = window * (math.log2(window) - bits) * unit + window
     out: list[tuple[int, int]] = []
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += term[c + 1] - term[c]
         if i >= window:
             old = run[i - window]
             c = counts[old]
             counts[old] = c - 1
             total += term[c - 1] - term[c]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += term[c + 1] - term[c]
         if i >= window - 1 and total <= most:
             a = i - window + 1
             if out and a <= out[-1][1]:

@@ -2,8 +2,8 @@
 
 Series are the embeddings, leaves their labels, queries all rows whose id is
 divisible by 50, each searched against all rows but itself. Where a learned
-prediction is needed, the squared distance to the leaf's centroid stands in for
-it, so that results can be compared.
+prediction is needed, one and a half times the squared distance to the leaf's
+centroid stands in for it, so that results can be compared.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ class Tables:
     def predictions(self) -> DataFrame:
         cells = self.series.select("leaf_id", F.posexplode("values").alias("i", "x")).groupBy("leaf_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
         centres = cells.groupBy("leaf_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c"))
-        return self.queries.crossJoin(centres).select("query_id", "leaf_id", F.round(fn.sq_euclidean("values", "c"), 6).alias("pred"))
+        return self.queries.crossJoin(centres).select("query_id", "leaf_id", F.round(1.5 * fn.sq_euclidean("values", "c"), 6).alias("pred"))
 
     def predicted(self) -> DataFrame:
         return self.examples().join(self.predictions(), ["query_id", "leaf_id"])
@@ -119,7 +119,7 @@ PARTS_SQL = {
     "lnn": "SELECT query_id, leaf_id, round(min(d2), 6) AS lnn FROM pairs GROUP BY query_id, leaf_id",
     "ex": "SELECT query_id, leaf_id, lb2, lnn, row_number() OVER w AS visit, min(lnn) OVER (PARTITION BY query_id ORDER BY lb2, leaf_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bsf FROM lnn JOIN lb USING (query_id, leaf_id) WINDOW w AS (PARTITION BY query_id ORDER BY lb2, leaf_id)",
     "centres": "SELECT leaf_id, list(m ORDER BY i) AS c FROM (SELECT leaf_id, i, avg(v[i]::DOUBLE) AS m FROM series, range(1, 65) t(i) GROUP BY leaf_id, i) GROUP BY leaf_id",
-    "preds": f"SELECT query_id, leaf_id, round({d2_sql('q', 'c')}, 6) AS pred FROM queries, centres",
+    "preds": f"SELECT query_id, leaf_id, round(1.5 * {d2_sql('q', 'c')}, 6) AS pred FROM queries, centres",
     "pex": "SELECT * FROM ex JOIN preds USING (query_id, leaf_id)",
     "sizes": "SELECT leaf_id, count(*) AS size FROM series GROUP BY leaf_id",
     "truth": f"SELECT * FROM (SELECT query_id, series_id, leaf_id, d2, row_number() OVER (PARTITION BY query_id ORDER BY d2, series_id) AS rank FROM pairs) WHERE rank <= {K}",

@@ -187,7 +187,7 @@ def score(docs: DataFrame, text: str, model: np.ndarray, into: str) -> DataFrame
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rule: Rule = Rule()) -> DataFrame:
     """id, language, n_chars, perplexity, threshold and kept of every row."""
     trusted = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("_good")).where("_good").select("_id")
-    counts = cut(count_grams(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(trusted, "_id", "left_semi").select("text")))
+    counts = cut(count_grams(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(trusted.hint("merge"), "_id", "left_semi").select("text")))
     base = docs.select(F.col(id_col), F.col(lang), F.col(text).alias("_text"))
     if counts.isEmpty():
         none = F.lit(None).cast("double")

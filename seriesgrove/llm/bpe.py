@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -38,7 +40,7 @@ LONG, LEAF = 32768, 8192
 #: Half the first window around a join, and the tokens in a row that must agree.
 WINDOW, AGREE = 64, 4
 #: Distinct stretches kept by a worker.
-KEPT = 200_000
+KEPT = 500_000
 #: Bytes of text for which a worker holds results at once.
 HELD = 4 << 20
 
@@ -47,21 +49,29 @@ ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 STRETCH = re.compile("[^\x20\x09-\x0d]+")
 
 
+#: Beyond these, letter case may depend on more than the vocabulary's own lower-casing of each character, or text be composed anew.
+UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
 class Encoder(dict):
-    """Stretch -> (ids as little-endian unsigned 32-bit integers, decoded text)."""
+    """Stretch -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.silent = Tokenizer.from_file(path), kept, False
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        # Only a vocabulary that lower-cases anyway gives capitals and small letters the same ids.
+        self.folds = self.raw("A Q\u00c9") == self.raw("a q\u00e9")
 
-    def __missing__(self, stretch: str) -> tuple[bytes, str]:
-        ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes(), self.decode(ids)
-        self.silent |= not ids
+    def raw(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __missing__(self, stretch: str) -> bytes:
+        value = pack_ids(self.raw(stretch))
         if len(stretch) <= 64:
             if len(self) >= self.kept:
                 self.clear()
@@ -69,14 +79,14 @@ class Encoder(dict):
         return value
 
     def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        """As the vocabulary's library does where it has no decoder, from a table; as it does in any case otherwise."""
+        return " ".join(map(self.tokens.__getitem__, ids)) if self.tokenizer.decoder is None else self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def piece(self, text: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a text that is not cut."""
-        found = [self[x] for x in (STRETCH.findall(text) if ODD.search(text) else text.split())]
-        if self.silent:
-            found = [x for x in found if x[0]]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+    def piece(self, text: str) -> bytes:
+        """Ids of a text that is not cut."""
+        if self.folds and not UNSURE.search(text) and "<|" not in text:
+            text = text.lower()
+        return b"".join([self[x] for x in (STRETCH.findall(text) if ODD.search(text) else text.split())])
 
     def located(self, text: str, at: int = 0) -> np.ndarray:
         """Rows of (id, start, end) of a text that begins at code point `at`."""
@@ -90,6 +100,20 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def unpack_ids(data: bytes) -> list[int]:
+    out = array("I", data)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tolist()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -157,9 +181,8 @@ def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], decode
     for batch in batches:
         for b in textops.blocks(batch.column(len(keys)), HELD):
             part = batch.slice(b.first, len(b))
-            found = [enc.piece(t.as_py() or "") for t in part.column(len(keys))]
-            ids = [x[0] for x in found]
-            results = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *([pa.array([x[1] for x in found], pa.string())] if decode else [])]
+            ids = [enc.piece(t.as_py() or "") for t in part.column(len(keys))]
+            results = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *([pa.array([enc.decode(unpack_ids(x)) for x in ids], pa.string())] if decode else [])]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *results], names=_names(keys, decode))
 
 

@@ -185,22 +185,27 @@ def cut_words(text: str, lo: int, hi: int) -> str:
 
 
 def write_out(mixed: DataFrame, into: str, columns: list[str], text: str = "text", length: str | None = None) -> DataFrame:
-    """One row for each time that a row of mix_sources() is taken: whole rows, and rows with the taken range of words as text."""
+    """One row for each time that a row of mix_sources() is taken: whole rows, and rows with the taken range of words as text.
+
+    Only the texts that are cut, at most two of each shard, leave the JVM.
+    """
 
     @F.arrow_udf("array<string>")
-    def parts(texts: pa.Array, rounds: pa.Array, size: pa.Array, *ends: pa.Array) -> pa.Array:
+    def parts(texts: pa.Array, *ends: pa.Array) -> pa.Array:
         out = []
-        for t, r, n, a, z, b, y in zip(texts.to_pylist(), rounds.to_pylist(), size.to_pylist(), *(e.to_pylist() for e in ends), strict=True):
-            rows = [t] * r
-            if z > a and y > b and a <= y:  # the run meets its own beginning
-                rows += [cut_words(t, 0, n)] if z == n else [cut_words(t, b, y), cut_words(t, a, z)]
-            else:
-                rows += [t if (x, w) == (0, n) else cut_words(t, x, w) for x, w in ((a, z), (b, y)) if w > x]
-            out.append(rows)
+        for t, *at in zip(texts.to_pylist(), *(e.to_pylist() for e in ends), strict=True):
+            out.append([] if t is None else [cut_words(t, x, w) for x, w in (at[2:], at[:2]) if w > x])
         return pa.array(out, pa.list_(pa.string()))
 
-    name = textops.fresh([*columns, into], "part")
-    made = mixed.withColumn(name, F.explode(parts(F.col(text), *(F.col(f"{into}.{c}") for c in ("rounds", "size", "from_1", "to_1", "from_2", "to_2")))))
+    at = lambda c: F.col(f"{into}.{c}")
+    one, two = at("to_1") > at("from_1"), at("to_2") > at("from_2")
+    whole = (at("to_1") == at("size")) & one & ((at("from_1") == 0) | two & (at("from_1") <= at("to_2")))  # the run may meet its own beginning
+    whole = whole | two & (at("to_2") == at("size"))
+    copies, name = textops.fresh([*columns, into], "parts"), textops.fresh([*columns, into, "parts"], "part")
+    cut = parts(F.when((one | two) & ~whole, F.col(text)), *(at(c) for c in ("from_1", "to_1", "from_2", "to_2")))
+    held = mixed.withColumn(copies, cut)
+    rows = F.concat(F.array_repeat(text, (at("rounds") + whole.cast("long")).cast("int")), F.col(copies))
+    made = held.withColumn(name, F.explode(rows))
     changed = {text: F.col(name)}
     if length:
         changed[length] = F.when(F.col(name) == F.col(text), F.col(length)).otherwise(F.length(name)).cast("long")
@@ -210,3 +215,32 @@ def write_out(mixed: DataFrame, into: str, columns: list[str], text: str = "text
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix_sources(docs, carry=("doc_id",)).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+#: The same by listing every quotient; for corpora small enough for that.
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    md5(concat_ws(chr(31), '17', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(md5(text), '-'))) AS o FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source
+), r AS (SELECT source, n, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS i, [3, 1, 2][((row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s
+), b AS (SELECT greatest(1, least(64, floor(1.5 * sum(n))::BIGINT // (1024 * greatest(1, count(*))))) AS block, 1.5 * sum(n)::DOUBLE AS share FROM r
+), f AS (SELECT r.*, share - coalesce(sum(2 * n) OVER (ORDER BY 2 * n::DOUBLE / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY 2 * n::DOUBLE / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight FROM r, b
+), g AS (SELECT min(struct_pack(q := 2 * n::DOUBLE / w, i := i, rest := rest, weight := weight)) AS m FROM f WHERE 2 * n::DOUBLE / w * weight > rest
+), t AS (SELECT r.i, r.source, r.n, CASE WHEN m IS NULL OR 2 * n::DOUBLE / w < m.q OR (2 * n::DOUBLE / w = m.q AND r.i < m.i) THEN 2 * n::DOUBLE ELSE m.rest * w / m.weight END AS target,
+    greatest(1, ceil(n / 262144)::BIGINT) AS shards, 2 * ceil(n / block)::BIGINT AS most FROM r, b, g
+), quotas AS (SELECT i, count(*) AS quota FROM (SELECT i, row_number() OVER (ORDER BY q DESC, i) AS place FROM (SELECT i, target / (2 * k + 1) AS q FROM t, LATERAL (SELECT unnest(range(most)) AS k) WHERE target > 0)), (SELECT round_even(sum(target) / any_value(block), 0) AS seats FROM t, b) WHERE place <= seats GROUP BY i
+), placed AS (SELECT d.*, t.i, t.n, t.target, CAST('0x' || substr(o, 1, 12) AS BIGINT) % shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), sh AS (SELECT i, shard, sum(size)::BIGINT AS words, ceil(sum(size) / any_value(block))::BIGINT AS blocks, shard // 4096 AS slice FROM placed, b GROUP BY i, shard
+), sl AS (SELECT i, slice, sum(words) AS words, sum(blocks)::BIGINT AS blocks FROM sh GROUP BY i, slice
+), slq AS (SELECT i, slice, count(*) AS quota FROM (SELECT i, slice, row_number() OVER (PARTITION BY i ORDER BY words / (2 * k + 1) DESC, slice) AS place FROM sl, LATERAL (SELECT unnest(range(2 * blocks)) AS k) WHERE words > 0) JOIN quotas USING (i) WHERE place <= quota GROUP BY i, slice
+), shq AS (SELECT i, shard, count(*) AS quota FROM (SELECT i, slice, shard, row_number() OVER (PARTITION BY i, slice ORDER BY words / (2 * k + 1) DESC, shard) AS place FROM sh, LATERAL (SELECT unnest(range(2 * blocks)) AS k) WHERE words > 0) JOIN slq USING (i, slice) WHERE place <= quota GROUP BY i, shard
+), x AS (
+  SELECT p.*, sh.blocks, coalesce(shq.quota, 0) AS quota, b.block, CASE WHEN sh.blocks > 0 THEN CAST('0x' || substr(md5(concat_ws('/', '17', p.i, p.shard)), 1, 12) AS BIGINT) % sh.blocks ELSE 0 END AS first,
+    coalesce(sum(size) OVER (PARTITION BY p.i, p.shard ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed p JOIN sh USING (i, shard) LEFT JOIN shq USING (i, shard), b
+), y AS (SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS rounds, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS extra FROM x)
+SELECT doc_id, size, n AS source_size, target, CAST(rounds * size
+  + greatest(0, least(size, (first + extra) * block - before)) - greatest(0, least(size, first * block - before))
+  + greatest(0, least(size, greatest(0, first + extra - blocks) * block - before)) AS BIGINT) AS taken FROM y
+"""

@@ -143,3 +143,28 @@ def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) ->
 def op10_repetition_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repetition_rules(docs.select("doc_id", "text")).select("doc_id", "rules.*")
+
+
+def _op10_sql(limits: Limits = Limits()) -> str:
+    space = "[ \\t\\n\\x0B\\f\\r]+"
+    lengths = sorted(limits.ngram)
+    kept = " AND ".join(f"ngram_chars[{i + 1}] <= {limits.ngram[n]}::DOUBLE * word_chars" for i, n in enumerate(lengths))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda x: x <> '') AS words FROM documents
+), g AS (SELECT doc_id, n, i, hash(array_to_string(words[i : i + n - 1], ' ')) AS h, array_to_string(words[i : i + n - 1], ' ') AS k FROM d, (SELECT unnest({lengths}) AS n), LATERAL (SELECT unnest(range(1, len(words) - n + 2)) AS i)
+), twice AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, h, k) AS c FROM g) WHERE c > 1
+), marked AS (SELECT DISTINCT doc_id, n, i + o AS i FROM twice, LATERAL (SELECT unnest(range(n)) AS o)
+), covered AS (SELECT doc_id, n, count(*) AS w, sum(length(words[i])) AS c FROM marked JOIN d USING (doc_id) GROUP BY doc_id, n
+), lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^ \\t\\x0B\\f\\r]')
+), dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '{space}', '', 'g'))) AS dup_line_chars FROM lines WHERE r > 1 GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce((SELECT w FROM covered c WHERE c.doc_id = d.doc_id AND n = 5), 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars,
+    [{", ".join(f"CAST(coalesce((SELECT c FROM covered c WHERE c.doc_id = d.doc_id AND n = {n}), 0) AS BIGINT)" for n in lengths)}] AS ngram_chars
+  FROM d LEFT JOIN dup USING (doc_id)
+), v AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {limits.lines}::DOUBLE * word_chars AND {kept} AS kept FROM v
+"""
+
+
+OP10_SQL = _op10_sql()

@@ -320,8 +320,8 @@ WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS set FROM w
-), n AS (SELECT doc_id, CAST(len(set) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(set) AS x FROM s
-), links AS (
+), n AS MATERIALIZED (SELECT doc_id, CAST(len(set) AS BIGINT) AS n FROM s), e AS MATERIALIZED (SELECT doc_id, unnest(set) AS x FROM s
+), links AS MATERIALIZED (
   SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
 ), reach AS (SELECT doc_id AS id, doc_id AS r FROM n UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.r

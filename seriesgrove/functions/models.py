@@ -252,3 +252,42 @@ def unflat(names: list[str], shapes: list[list[int]], values: list[float]) -> We
         out[name] = np.array(values[at : at + n]).reshape(shape)
         at += n
     return out
+
+
+@dataclass
+class Navigator:
+    """Two sigmoid layers that give each leaf a probability for a query; trained on shares of nearest neighbours by squared error."""
+
+    length: int
+    leaves: list[int]
+    width: int = 500
+    weights: Weights = field(default_factory=dict)
+
+    def _layers(self, x: np.ndarray):
+        one = 1 / (1 + np.exp(-(x @ self.weights["w1"] + self.weights["b1"])))
+        two = 1 / (1 + np.exp(-(one @ self.weights["w2"] + self.weights["b2"])))
+        return one, two, 1 / (1 + np.exp(-(two @ self.weights["w3"] + self.weights["b3"])))
+
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 100, rate: float = 0.5, seed: int = 1) -> list[float]:
+        """x: queries; y: shares, a column for each leaf. Returns the loss by epoch."""
+        rng = np.random.default_rng(seed)
+        sizes = [self.length, self.width, self.width, len(self.leaves)]
+        self.weights = {}
+        for i in range(3):
+            self.weights |= {f"w{i + 1}": uniform(rng, sizes[i], sizes[i], sizes[i + 1]), f"b{i + 1}": uniform(rng, sizes[i], sizes[i + 1])}
+        losses = []
+        for _ in range(epochs):
+            one, two, out = self._layers(x)
+            losses.append(float(((out - y) ** 2).mean()))
+            d = 2 * (out - y) * out * (1 - out) / len(x)
+            grads = {"w3": two.T @ d, "b3": d.sum(0)}
+            d = d @ self.weights["w3"].T * two * (1 - two)
+            grads |= {"w2": one.T @ d, "b2": d.sum(0)}
+            d = d @ self.weights["w2"].T * one * (1 - one)
+            grads |= {"w1": x.T @ d, "b1": d.sum(0)}
+            for k, g in grads.items():
+                self.weights[k] = self.weights[k] - rate * g
+        return losses
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self._layers(x)[2]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesgrove.functions import series as fn
 
@@ -141,3 +142,72 @@ def durbin_watson(rows: DataFrame, by: list[str], order: str, value: str) -> Dat
     """by, dw: the sum of squared steps over the sum of squares."""
     w = Window.partitionBy(*by).orderBy(order)
     return rows.withColumn("_d", F.col(value) - F.lag(value).over(w)).groupBy(*by).agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col(value) * F.col(value))).alias("dw"))
+
+
+def fit_batches(points: DataFrame) -> DataFrame:
+    """leaf_id, batch_id, coefficients, fitted error: the surface over each batch's own alphas."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        r, c, y = (rows[n].to_numpy() for n in ("recall", "coverage", "alpha"))
+        x = np.stack([np.ones_like(r), r, c, r * c, r * r, c * c], axis=1)
+        found, *_ = np.linalg.lstsq(x, y, rcond=None)
+        return pd.DataFrame({"leaf_id": [rows["leaf_id"].iloc[0]], "batch_id": [rows["batch_id"].iloc[0]], "coefficients": [found.tolist()], "mean_error": [float(np.abs(x @ found - y).mean())]})
+
+    return points.groupBy("leaf_id", "batch_id").applyInPandas(fit, "leaf_id bigint, batch_id bigint, coefficients array<double>, mean_error double")
+
+
+def statistic(residual: np.ndarray) -> float:
+    """Durbin-Watson of residuals in their order."""
+    total = float((residual**2).sum())
+    return float((np.diff(residual) ** 2).sum()) / total if total else 2.0
+
+
+def fit_bivariate(points: DataFrame) -> DataFrame:
+    """leaf_id, kind, coefficients (1, r, c, r^2, c^2): linear for fewer than ten points or residuals without a trend (1 <= DW <= 3), else quadratic without a cross term."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["recall", "coverage", "alpha"])
+        r, c, y = (rows[n].to_numpy() for n in ("recall", "coverage", "alpha"))
+        x = np.stack([np.ones_like(r), r, c, r * r, c * c], axis=1)
+        line, *_ = np.linalg.lstsq(x[:, :3], y, rcond=None)
+        straight = len(rows) < 10 or 1 <= statistic(y - x[:, :3] @ line) <= 3
+        found = [*line.tolist(), 0.0, 0.0] if straight else np.linalg.lstsq(x, y, rcond=None)[0].tolist()
+        return pd.DataFrame({"leaf_id": [rows["leaf_id"].iloc[0]], "kind": ["linear" if straight else "quadratic"], "coefficients": [found]})
+
+    return points.groupBy("leaf_id").applyInPandas(fit, "leaf_id bigint, kind string, coefficients array<double>")
+
+
+def alpha_for_recall(recalls: DataFrame, alphas: DataFrame, target: float) -> DataFrame:
+    """leaf_id, alpha of one calibration set: 0 if the least recall exceeds the target, else that of the first place that reaches it.
+
+    recalls: error_i, recall in rising order of place; where no place reaches the target, the largest alpha.
+    """
+    reached = recalls.agg(F.min("recall").alias("least"), F.min(F.when(F.col("recall") >= target, F.col("error_i"))).alias("place"), F.max("error_i").alias("last"))
+    told = alphas.join(reached).where(F.col("error_i") == F.coalesce("place", "last"))
+    return told.select("leaf_id", F.when(F.col("least") > target, 0.0).otherwise(F.col("alpha")).alias("alpha"))
+
+
+def cubic_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes of the natural cubic spline through the points, for hermite(); two points give a line."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(n)
+    h, s = np.diff(x), np.diff(y) / np.diff(x)
+    a, b = np.zeros((n, n)), np.zeros(n)
+    a[0, :2], b[0] = (2, 1), 3 * s[0]
+    a[-1, -2:], b[-1] = (1, 2), 3 * s[-1]
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
+        b[i] = 3 * (h[i] * s[i - 1] + h[i - 1] * s[i])
+    return np.linalg.solve(a, b)
+
+
+def cubic(points: DataFrame, x: str, y: str) -> DataFrame:
+    """Adds the slope of the natural cubic spline of each leaf."""
+    schema = T.StructType([*points.schema.fields, T.StructField("slope", T.DoubleType())])
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(x)
+        return rows.assign(slope=cubic_slopes(rows[x].to_numpy(float), rows[y].to_numpy(float)))
+
+    return points.groupBy("leaf_id").applyInPandas(fit, schema)

@@ -86,3 +86,25 @@ def within_budget(visits: DataFrame, max_leaves: int | None = None, max_series:
     if max_leaves is not None:
         out = out.where(F.col("visit") <= max_leaves)
     return out if max_series is None else out.where(F.col("seen") <= max_series)
+
+
+def cumulative_sizes(sizes: DataFrame) -> DataFrame:
+    """leaf_id, first, size: the number of series in the leaves before, from 0, in order of id."""
+    w = Window.orderBy("leaf_id").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("leaf_id", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("first"), "size")
+
+
+def leaf_of_place(places: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The leaf that holds each place of the concatenated leaves: a range join with the table of leaves."""
+    held = cumulative_sizes(sizes)
+    return places.join(held, (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("size"))).select("place", "leaf_id")
+
+
+def synthetic_query_count(sizes: DataFrame, threshold: float, per_leaf: int) -> DataFrame:
+    """One row: the queries to be made for the leaves of more than threshold series."""
+    return sizes.agg((F.count_if(F.col("size") > threshold) * per_leaf).alias("n_queries"))
+
+
+def navigated(order: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs (query_id, leaf_id, ...) in each query's first `most` leaves of an order (query_id, leaf_id, place)."""
+    return pairs.join(order.where(F.col("place") <= most).select("query_id", "leaf_id"), ["query_id", "leaf_id"], "left_semi")

@@ -540,3 +540,124 @@ def filters_trained(t: Tables):
 
     rows = t.nearest().join(t.queries, "query_id")
     return filters.train_filters(rows, "mlp_2_16", Training(epochs=60, rate=0.05)).select("leaf_id", "model", "loss", "examples", "memory_mb", "active")
+
+
+# More of the same
+
+
+@query("SELECT leaf_id, coalesce(sum(size) OVER (ORDER BY leaf_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, size FROM sizes")
+def cumulative_leaf_sizes(t: Tables):
+    return training.cumulative_sizes(t.sizes())
+
+
+@query("SELECT series_id AS place, leaf_id FROM series s0, LATERAL (SELECT leaf_id FROM (SELECT leaf_id, size, sum(size) OVER (ORDER BY leaf_id) AS z FROM sizes) c WHERE s0.series_id >= c.z - c.size AND s0.series_id < c.z) x(leaf)".replace("SELECT series_id AS place, leaf_id", "SELECT series_id AS place, leaf AS leaf_id"))
+def leaf_of_place(t: Tables):
+    return training.leaf_of_place(t.series.select(F.col("series_id").alias("place")), t.sizes())
+
+
+@query("SELECT count(*) FILTER (WHERE size > 40) * 3 AS n_queries FROM sizes")
+def synthetic_query_count(t: Tables):
+    return training.synthetic_query_count(t.sizes(), 40, 3)
+
+
+_ORDER = f"SELECT query_id, leaf_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, leaf_id) AS place FROM knn"
+
+
+@query(f"SELECT query_id, series_id, leaf_id, rank, round(d2, 6) AS d2 FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY d2, series_id) AS rank FROM pairs p SEMI JOIN (SELECT query_id, leaf_id FROM ({_ORDER}) WHERE place <= 2) o USING (query_id, leaf_id)) WHERE rank <= {K}")
+def knn_navigated(t: Tables):
+    """Search in each query's two best leaves, by the share of its nearest series."""
+    from pyspark.sql import Window
+
+    order = t.knn().withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "leaf_id")))
+    pairs = search.distances(t.queries, t.series, exclude_self=True).join(t.series.select("series_id", "leaf_id"), "series_id")
+    return rounded(search.top_k(training.navigated(order, pairs, 2), K), "d2")
+
+
+@query("SELECT series_id, list_transform(v[1:4], lambda x: round(x::DOUBLE * 1000)) AS values FROM series")
+def text_array(t: Tables):
+    """Numbers written as text and read back."""
+    head = F.transform(F.slice("values", 1, 4), lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    return t.series.select("series_id", fn.from_text(fn.to_text(head)).alias("values"))
+
+
+@query("SELECT a.query_id, a.leaf_id, abs(a.lnn - a.lb2) <= 1e-5 * greatest(1, abs(a.lnn), abs(a.lb2)) AS equal FROM ex a")
+def almost_equal(t: Tables):
+    return t.examples().select("query_id", "leaf_id", fn.almost_equal("lnn", "lb2").alias("equal"))
+
+
+@query("SELECT query_id, leaf_id, round(sqrt(lnn), 6) AS root FROM lnn")
+def square_roots(t: Tables):
+    return t.nearest().select("query_id", "leaf_id", F.round(F.sqrt("lnn"), 6).alias("root"))
+
+
+@query("SELECT query_id, series_id FROM truth INTERSECT SELECT query_id, series_id FROM approx")
+def answers_intersected(t: Tables):
+    return reports.hits(t.truth(), t.approximate()).select("query_id", "series_id")
+
+
+_ONE = "SELECT error_i, avg(recall) AS recall FROM recalls GROUP BY error_i"
+
+
+@query(f"SELECT leaf_id, CASE WHEN (SELECT min(recall) FROM ({_ONE})) > 0.7 THEN 0 ELSE alpha END AS alpha FROM (SELECT leaf_id, error_i, max(alpha) AS alpha FROM alphas GROUP BY leaf_id, error_i) WHERE error_i = coalesce((SELECT min(error_i) FROM ({_ONE}) WHERE recall >= 0.7), (SELECT max(error_i) FROM ({_ONE})))")
+def alpha_for_recall(t: Tables):
+    """Calibration to a recall alone, over all batches as one set."""
+    recalls = t.recalls().groupBy("error_i").agg(F.avg("recall").alias("recall"))
+    return calibration.alpha_for_recall(recalls, calibration.largest_alphas(t.alphas()), 0.7)
+
+
+@query(f"SELECT model, round(avg(model_pruned), 6) AS model_pruned FROM (SELECT 'a' AS model, model_pruned FROM ({_MODEL}) UNION ALL SELECT 'b' AS model, model_pruned / 2 FROM ({_MODEL})) GROUP BY model")
+def trial_pruning(t: Tables):
+    rows = allocation.model_pruning(t.predicted(), _alpha_one(t))
+    both = rows.select(F.lit("a").alias("model"), "model_pruned").unionByName(rows.select(F.lit("b").alias("model"), (F.col("model_pruned") / 2).alias("model_pruned")))
+    return rounded(allocation.trial_pruning(both), "model_pruned")
+
+
+@query(f"SELECT leaf_id, CASE WHEN ga >= gb THEN 'a' ELSE 'b' END AS model FROM (SELECT leaf_id, gain AS ga, gain / 2 + 0.001 AS gb FROM ({_GAIN})) WHERE abs(ga - gb) > 1e-9")
+def best_model(t: Tables):
+    rows = _gains(t)
+    both = rows.select("leaf_id", F.lit("a").alias("model"), "gain").unionByName(rows.select("leaf_id", F.lit("b").alias("model"), (F.col("gain") / 2 + 0.001).alias("gain")))
+    return allocation.best_models(both).select("leaf_id", "model")
+
+
+def _points(t: Tables):
+    pairs = calibration.recall_coverage(t.recalls())
+    return pairs.join(t.alphas(), ["batch_id", "error_i"]).select("leaf_id", "batch_id", "recall", "coverage", "alpha")
+
+
+@query()
+def batch_surfaces(t: Tables):
+    """The fit of each batch's own alphas."""
+    return calibration.fit_batches(_points(t))
+
+
+@query()
+def bivariate_fits(t: Tables):
+    """Linear or quadratic fits, chosen by the Durbin-Watson statistic."""
+    return calibration.fit_bivariate(_points(t))
+
+
+@query()
+def cubic_spline(t: Tables):
+    points = calibration.largest_alphas(t.alphas()).select("leaf_id", F.col("error_i").cast("double").alias("x"), F.col("alpha").alias("y"))
+    return calibration.hermite(calibration.cubic(points, "x", "y"), ["leaf_id"], "x", "y", 1.25)
+
+
+@query()
+def navigator_trained(t: Tables):
+    """query_id, leaf_id, probability of a navigator fitted to the shares of nearest series."""
+    import numpy as np
+
+    from seriesgrove.functions.models import Navigator
+
+    rows = {r.query_id: np.array(r["values"], float) for r in t.queries.collect()}  # the training queries
+    leaves = [r.leaf_id for r in t.sizes().orderBy("leaf_id").collect()]
+    at, ids = {leaf: i for i, leaf in enumerate(leaves)}, sorted(rows)
+    y = np.zeros((len(ids), len(leaves)))
+    for r in training.navigator_targets(t.knn(), K).collect():
+        y[ids.index(r.query_id), at[r.leaf_id]] = r.share
+    model = Navigator(LENGTH, leaves, 64)
+    x = np.stack([rows[i] for i in ids])
+    model.fit(x, y, epochs=50)
+    p = model.probabilities(x)
+    made = [(i, leaf, float(p[a, b])) for a, i in enumerate(ids) for b, leaf in enumerate(leaves)]
+    return t.spark.createDataFrame(made, "query_id bigint, leaf_id bigint, probability double")

@@ -91,3 +91,29 @@ def test_config():
     with pytest.raises(ValueError):
         Config.parse(["--no_such_thing=1"])
     assert all(hasattr(c, n) for n in COMPATIBLE_ONLY)
+
+
+def test_navigator_learns_shares():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(-2, 1, (40, 6)), rng.normal(2, 1, (40, 6))])
+    y = np.repeat([[0.9, 0.1], [0.1, 0.9]], 40, axis=0)
+    n = models.Navigator(6, [4, 7], 16)
+    losses = n.fit(x, y, epochs=300, rate=2.0)
+    assert losses[-1] < 0.5 * losses[0]
+    assert (n.probabilities(x).argmax(axis=1) == y.argmax(axis=1)).mean() > 0.95
+
+
+def test_cubic_slopes_of_a_line_and_symmetry():
+    x = np.array([0.0, 1.0, 3.0, 4.0])
+    assert np.allclose(calibration.cubic_slopes(x, 2 * x + 1), 2)
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    s = calibration.cubic_slopes(x, y)
+    assert np.allclose(s, -s[::-1])
+
+
+def test_costs_are_positive():
+    from seriesgrove.operators import allocation
+
+    m = models.make("mlp_2_4", 8)
+    a, b = allocation.measure_costs(8, m, m.start(np.random.default_rng(1)), rounds=3)
+    assert a > 0 and b > 0

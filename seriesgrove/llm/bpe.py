@@ -11,7 +11,8 @@ If no window agrees, the last one is the whole text itself.
 
 Within a piece, stretches between ASCII white space are encoded once and kept in
 a bounded table, since neither merges nor the patterns of the vocabulary reach
-across white space.
+across white space. Of a leaf, only the tokens near its ends carry offsets; a
+window that grows beyond them finds no agreement there and becomes whole.
 
 Defined results: a null or empty text has no tokens and decodes to an empty
 text. Repeated rows give repeated results. Keys may be null. Only the named key
@@ -20,6 +21,7 @@ columns are returned besides the results.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -39,6 +41,8 @@ from seriesgrove.llm import textops
 LONG, LEAF = 32768, 8192
 #: Half the first window around a join, and the tokens in a row that must agree.
 WINDOW, AGREE = 64, 4
+#: Code points at either end of a leaf whose tokens carry offsets.
+EDGE = 512
 #: Distinct stretches kept by a worker.
 KEPT = 500_000
 #: Bytes of text for which a worker holds results at once.
@@ -46,6 +50,7 @@ HELD = 4 << 20
 
 #: White space that str.split() knows besides the six ASCII separators.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+BLANK = re.compile("[\x20\x09-\x0d]")
 STRETCH = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -53,40 +58,82 @@ STRETCH = re.compile("[^\x20\x09-\x0d]+")
 UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
-class Encoder(dict):
-    """Stretch -> its ids as little-endian unsigned 32-bit integers."""
+#: How a known vocabulary splits lower-case text, a fixed value; and, for the characters that SIMPLE allows, the same here.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIMPLE = re.compile("[!-/0-9:-@\\[-`a-z{-~\xdf-\xf6\xf8-\xff\u0153]+")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0153]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\u0153]+")
+
+
+class Encoder:
+    """Encodes with one vocabulary; `table` keeps stretches and their ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.table: dict[str, bytes] = {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         # Only a vocabulary that lower-cases anyway gives capitals and small letters the same ids.
         self.folds = self.raw("A Q\u00c9") == self.raw("a q\u00e9")
+        self.splits = self.folds and json.dumps(KNOWN_SPLIT) in self.tokenizer.to_str() and '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str()
+        self.last = [t is not None and t.endswith("</w>") for t in self.tokens]
 
     def raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, stretch: str) -> bytes:
-        value = pack_ids(self.raw(stretch))
-        if len(stretch) <= 64:
-            if len(self) >= self.kept:
-                self.clear()
-            self[stretch] = value
-        return value
-
     def decode(self, ids: list[int]) -> str:
         """As the vocabulary's library does where it has no decoder, from a table; as it does in any case otherwise."""
         return " ".join(map(self.tokens.__getitem__, ids)) if self.tokenizer.decoder is None else self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def piece(self, text: str) -> bytes:
-        """Ids of a text that is not cut."""
+    def learn(self, stretches: set[str]) -> dict[str, bytes]:
+        """Adds stretches to the table, the parts that they are split into being encoded together; those too long to keep are returned."""
+        table, rare = self.table, {}
+        simple = {x: SPLIT.findall(x) for x in stretches if len(x) <= 64 and SIMPLE.fullmatch(x) and "<|" not in x} if self.splits else {}
+        parts = sorted({p for found in simple.values() for p in found}.difference(table))
+        for lo in range(0, len(parts), 1024):
+            some = parts[lo : lo + 1024]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ends = [i + 1 for i, t in enumerate(ids) if self.last[t]]
+            if len(ends) == len(some):
+                packed = pack_ids(ids)
+                table.update((p, packed[4 * a : 4 * z]) for p, a, z in zip(some, [0, *ends], ends, strict=False))
+        for x, found in simple.items():
+            if len(found) > 1 and all(p in table for p in found):
+                table[x] = b"".join([table[p] for p in found])
+        for x in stretches.difference(table):
+            (table if len(x) <= 64 else rare)[x] = pack_ids(self.raw(x))
+        return rare
+
+    def stretches(self, text: str) -> list[str]:
         if self.folds and not UNSURE.search(text) and "<|" not in text:
             text = text.lower()
-        return b"".join([self[x] for x in (STRETCH.findall(text) if ODD.search(text) else text.split())])
+        return STRETCH.findall(text) if ODD.search(text) else text.split()
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are not cut."""
+        found = [self.stretches(t) for t in texts]
+        words = set().union(*found)
+        new = words.difference(self.table)
+        if len(self.table) + len(new) > self.kept:
+            self.table.clear()
+            new = words
+        rare = self.learn(new) if new else {}
+        ids = (lambda x: rare[x] if x in rare else self.table[x]) if rare else self.table.__getitem__
+        return [b"".join(map(ids, f)) for f in found]
+
+    def piece(self, text: str) -> bytes:
+        return self.pieces([text])[0]
+
+    def leaf(self, text: str, at: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a leaf: rows with offsets of its head, ids of its middle, rows of its tail; the middle begins and ends at white space."""
+        head, tail = BLANK.search(text, edge), BLANK.search(text[::-1], edge)
+        a, z = (head.start() if head else len(text)), (len(text) - tail.start() if tail else 0)
+        if a >= z:
+            return self.located(text, at), np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+        return self.located(text[:a], at), np.array(unpack_ids(self.piece(text[a:z])), np.int64), self.located(text[z:], at + z)
 
     def located(self, text: str, at: int = 0) -> np.ndarray:
         """Rows of (id, start, end) of a text that begins at code point `at`."""
@@ -149,6 +196,14 @@ def join(left: np.ndarray, right: np.ndarray, lo: int, middle: int, hi: int, enc
         window *= 2
 
 
+def whole_rows(head: np.ndarray, middle: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The rows of a leaf; tokens of the middle have a place, but an end that no token has."""
+    between = np.full((len(middle), 3), -1, np.int64)
+    between[:, 0] = middle
+    between[:, 1] = head[-1, 2] if len(head) else 0
+    return np.concatenate([head, between, tail])
+
+
 def halves(length: int, leaf: int) -> list[int]:
     """Bounds of the leaves: each part above `leaf` is cut in the middle, to one depth for all."""
     n = 1
@@ -165,11 +220,11 @@ def concatenate(leaves: list[np.ndarray], bounds: list[int], encode: Callable[[i
     return leaves[0]
 
 
-def by_tree(enc: Encoder, text: str, leaf: int = LEAF, window: int = WINDOW) -> np.ndarray:
+def by_tree(enc: Encoder, text: str, leaf: int = LEAF, window: int = WINDOW, edge: int = EDGE) -> np.ndarray:
     """Ids of a text by tree concatenation in one process."""
     bounds = halves(len(text), leaf)
     encode = lambda a, z: enc.located(text[a:z], a)
-    return concatenate([encode(a, z) for a, z in zip(bounds, bounds[1:], strict=False)], bounds, encode, window)[:, 0]
+    return concatenate([whole_rows(*enc.leaf(text[a:z], a, edge)) for a, z in zip(bounds, bounds[1:], strict=False)], bounds, encode, window)[:, 0]
 
 
 def _names(keys: list[str], decode: bool) -> list[str]:
@@ -181,7 +236,7 @@ def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], decode
     for batch in batches:
         for b in textops.blocks(batch.column(len(keys)), HELD):
             part = batch.slice(b.first, len(b))
-            ids = [enc.piece(t.as_py() or "") for t in part.column(len(keys))]
+            ids = enc.pieces([t or "" for t in part.column(len(keys)).to_pylist()])
             results = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *([pa.array([enc.decode(unpack_ids(x)) for x in ids], pa.string())] if decode else [])]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *results], names=_names(keys, decode))
 
@@ -203,8 +258,9 @@ def _leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         n = batch.num_columns
         at, pieces = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-        rows = [enc.located(p, a).astype("<u4").tobytes() for a, p in zip(at, pieces, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "_rows"])
+        found = [enc.leaf(p, a, EDGE) for a, p in zip(at, pieces, strict=True)]
+        packed = [pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "_head", "_middle", "_tail"])
 
 
 def _join(table: pa.Table, path: str, keys: list[str], decode: bool) -> pa.Table:
@@ -212,7 +268,8 @@ def _join(table: pa.Table, path: str, keys: list[str], decode: bool) -> pa.Table
     enc = encoder(path)
     order = sorted(zip(table["_at"].to_pylist(), range(table.num_rows), strict=True))
     pieces = [table["_piece"][i].as_py() for _, i in order]
-    leaves = [np.frombuffer(table["_rows"][i].as_py(), "<u4").astype(np.int64).reshape(-1, 3) for _, i in order]
+    part = lambda name, i: np.frombuffer(table[name][i].as_py(), "<u4").astype(np.int64)
+    leaves = [whole_rows(part("_head", i).reshape(-1, 3), part("_middle", i), part("_tail", i).reshape(-1, 3)) for _, i in order]
     text = "".join(pieces)
     ids = concatenate(leaves, [a for a, _ in order] + [len(text)], lambda a, z: enc.located(text[a:z], a))[:, 0]
     copies = table["_copies"][0].as_py()
@@ -234,7 +291,7 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text
     rows = docs.where(size > long).groupBy(*names, F.sha2(text, 256).alias("_sha")).agg(F.count("*").alias("_copies"), F.first(text).alias("_text"))
     pieces = T.StructType([*kept, T.StructField("_sha", T.StringType()), T.StructField("_copies", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_piece", T.StringType())])
     cut = rows.mapInArrow(partial(_cut, leaf=leaf), pieces).repartition("_sha", "_at")
-    done = cut.mapInArrow(partial(_leaves, path=path), T.StructType([*pieces, T.StructField("_rows", T.BinaryType())]))
+    done = cut.mapInArrow(partial(_leaves, path=path), T.StructType([*pieces, *(T.StructField(c, T.BinaryType()) for c in ("_head", "_middle", "_tail"))]))
 
     def join_rows(table: pa.Table) -> pa.Table:
         return _join(table, path, names, decode)

@@ -10,33 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesgrove.llm import bpe, dedup, mixing, repetition, secrets
 from seriesgrove.llm.lineage import cut
+from seriesgrove.llm.textops import fresh, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the repetition rules reject."""
+    small_batches(spark)
     return repetition.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
+    small_batches(spark)
     return dedup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows."""
+    small_batches(spark)
     return secrets.redact_secrets(docs, length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each row as often as the mix takes it; a row that is cut keeps the taken words, and n_chars follows."""
-    from seriesgrove.llm.textops import fresh
-
+    small_batches(spark)
     into = fresh(docs.columns, "mix")
     return mixing.write_out(mixing.mix_sources(docs, into=into), into, docs.columns, length="n_chars")
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
+    small_batches(spark)
     return bpe.digests(bpe.encode(docs, bpe.word_bpe()))
 
 

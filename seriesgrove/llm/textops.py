@@ -154,3 +154,13 @@ def fresh(names: list[str], stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def small_batches(spark, rows: int = 2000) -> None:
+    """Lets Spark hand Python at most so many rows at once, unless the session says something else than Spark's default.
+
+    Queries call this, operators do not: texts can be long, and two workers share an executor's memory with the JVM.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

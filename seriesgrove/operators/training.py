@@ -34,8 +34,7 @@ def random_queries(series: DataFrame, n: int, seed: int, low: float = 0.1, high:
     """n seeded random series with normal noise whose deviation is uniform in [low, high], z-normalised."""
     picked = series.orderBy(F.xxhash64("series_id", F.lit(seed))).limit(n)
     sigma = picked.withColumn("_s", low + (high - low) * F.rand(seed))
-    noised = sigma.withColumn("_e", F.transform("values", lambda x: x.cast("double")))
-    rows = noised.select(F.col("series_id").alias("query_id"), "_s", F.posexplode("_e").alias("i", "x")).withColumn("x", F.col("x") + F.col("_s") * F.randn(seed + 1))
+    rows = sigma.select(F.col("series_id").alias("query_id"), "_s", F.posexplode(fn.doubles("values")).alias("i", "x")).withColumn("x", F.col("x") + F.col("_s") * F.randn(seed + 1))
     back = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("values"))
     return back.select("query_id", fn.znormalize("values").alias("values")).where("values IS NOT NULL")
 

@@ -44,9 +44,9 @@ WINDOW, AGREE = 64, 4
 #: Code points at either end of a leaf whose tokens carry offsets.
 EDGE = 512
 #: Distinct stretches kept by a worker.
-KEPT = 500_000
+KEPT = 300_000
 #: Bytes of text for which a worker holds results at once.
-HELD = 4 << 20
+HELD = 1 << 20
 
 #: White space that str.split() knows besides the six ASCII separators.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -58,10 +58,11 @@ STRETCH = re.compile("[^\x20\x09-\x0d]+")
 UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
-#: How a known vocabulary splits lower-case text, a fixed value; and, for the characters that SIMPLE allows, the same here.
+#: How a known vocabulary splits lower-case text, a fixed value; and, for all but the characters of NOT_SIMPLE, the same here.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SIMPLE = re.compile("[!-/0-9:-@\\[-`a-z{-~\xdf-\xf6\xf8-\xff\u0153]+")
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0153]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\u0153]+")
+NOT_SIMPLE = re.compile("^.*[^\\n!-/0-9:-@\\[-`a-z{-~\xdf-\xf6\xf8-\xff\u0153].*$", re.M)
+BREAK = ("\n",)
+SPLIT = re.compile("\\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0153]+|[0-9]|[^\\na-z0-9\xdf-\xf6\xf8-\xff\u0153]+")
 
 
 class Encoder:
@@ -91,18 +92,31 @@ class Encoder:
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
         """Adds stretches to the table, the parts that they are split into being encoded together; those too long to keep are returned."""
         table, rare = self.table, {}
-        simple = {x: SPLIT.findall(x) for x in stretches if len(x) <= 64 and SIMPLE.fullmatch(x) and "<|" not in x} if self.splits else {}
-        parts = sorted({p for found in simple.values() for p in found}.difference(table))
-        for lo in range(0, len(parts), 1024):
-            some = parts[lo : lo + 1024]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            ends = [i + 1 for i, t in enumerate(ids) if self.last[t]]
-            if len(ends) == len(some):
-                packed = pack_ids(ids)
-                table.update((p, packed[4 * a : 4 * z]) for p, a, z in zip(some, [0, *ends], ends, strict=False))
-        for x, found in simple.items():
-            if len(found) > 1 and all(p in table for p in found):
-                table[x] = b"".join([table[p] for p in found])
+        if self.splits:
+            whole = "\n".join([x for x in stretches if len(x) <= 64 and "<|" not in x])
+            if odd := NOT_SIMPLE.findall(whole):
+                odd = set(odd)
+                whole = "\n".join([x for x in whole.split("\n") if x not in odd])
+            found = SPLIT.findall(whole)  # the line breaks between the stretches are parts of their own
+            parts = list(set(found).difference(table, BREAK))
+            for lo in range(0, len(parts), 1024):
+                some = parts[lo : lo + 1024]
+                ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+                ends = [i + 1 for i, t in enumerate(ids) if self.last[t]]
+                if len(ends) == len(some):
+                    packed = pack_ids(ids)
+                    table.update((p, packed[4 * a : 4 * z]) for p, a, z in zip(some, [0, *ends], ends, strict=False))
+            if all(p in table for p in parts):
+                first = 0
+                for x in whole.split("\n"):
+                    end = first
+                    length = len(x)
+                    while length > 0:
+                        length -= len(found[end])
+                        end += 1
+                    if end - first > 1:
+                        table[x] = b"".join([table[p] for p in found[first:end]])
+                    first = end + 1
         for x in stretches.difference(table):
             (table if len(x) <= 64 else rare)[x] = pack_ids(self.raw(x))
         return rare
@@ -116,13 +130,14 @@ class Encoder:
         """Ids of texts that are not cut."""
         found = [self.stretches(t) for t in texts]
         words = set().union(*found)
-        new = words.difference(self.table)
-        if len(self.table) + len(new) > self.kept:
-            self.table.clear()
-            new = words
-        rare = self.learn(new) if new else {}
-        ids = (lambda x: rare[x] if x in rare else self.table[x]) if rare else self.table.__getitem__
-        return [b"".join(map(ids, f)) for f in found]
+        held = dict(zip(words, map(self.table.get, words), strict=True))
+        new = {x for x, ids in held.items() if ids is None}
+        if new:
+            if len(self.table) + len(new) > self.kept:
+                self.table.clear()
+            rare = self.learn(new)
+            held.update((x, rare[x] if x in rare else self.table[x]) for x in new)
+        return [b"".join(map(held.__getitem__, f)) for f in found]
 
     def piece(self, text: str) -> bytes:
         return self.pieces([text])[0]
@@ -231,6 +246,7 @@ def _names(keys: list[str], decode: bool) -> list[str]:
     return [*keys, "n_tokens", "ids", "decoded"][: len(keys) + 2 + decode]
 
 
+@textops.tidy
 def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], decode: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
@@ -239,8 +255,10 @@ def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], decode
             ids = enc.pieces([t or "" for t in part.column(len(keys)).to_pylist()])
             results = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *([pa.array([enc.decode(unpack_ids(x)) for x in ids], pa.string())] if decode else [])]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *results], names=_names(keys, decode))
+    enc.table.clear()
 
 
+@textops.tidy
 def _cut(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_columns - 1
@@ -253,6 +271,7 @@ def _cut(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([*same, pa.array([a for a, _ in cut], pa.int64()), pa.array([text[a:z] for a, z in cut], pa.string())], names=[*batch.schema.names[:n], "_at", "_piece"])
 
 
+@textops.tidy
 def _leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
@@ -261,6 +280,7 @@ def _leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         found = [enc.leaf(p, a, EDGE) for a, p in zip(at, pieces, strict=True)]
         packed = [pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "_head", "_middle", "_tail"])
+    enc.table.clear()
 
 
 def _join(table: pa.Table, path: str, keys: list[str], decode: bool) -> pa.Table:

@@ -109,6 +109,7 @@ def rounded(n: int) -> int:
     return n >> shift << shift
 
 
+@textops.tidy
 def _sign(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in textops.blocks(batch.column(1)):
@@ -181,6 +182,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
+@textops.tidy
 def _confirm(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordBatch]:
     """Rows (u, v, u's text, v's text): those whose full sets are similar enough."""
     for batch in batches:
@@ -201,6 +203,7 @@ def set_of(text: str, lower: bool = True) -> np.ndarray:
     return np.zeros(0, np.uint64)
 
 
+@textops.tidy
 def _fine(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_sketch(set_of(t.as_py(), lower)).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "fine"])
@@ -210,6 +213,7 @@ def _fine(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordB
 BLOCK = 1024
 
 
+@textops.tidy
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, key, i, j, block, id, label, n, regs, fine), sorted by the first four: pairs of different labels that may be links."""
 

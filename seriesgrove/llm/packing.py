@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesgrove.llm import bpe
+from seriesgrove.llm import bpe, textops
 
 LENGTH, POOL, PAD = 2048, 1 << 20, 0
 SCHEMA = "doc_ids array<bigint>, piece_starts array<bigint>, doc_tokens array<bigint>, cu_seqlens array<int>, n_tokens int, ids binary, positions binary"
@@ -106,6 +106,7 @@ def pack(pool: list[tuple[int | None, np.ndarray]], length: int, pad: int) -> pa
     return pa.RecordBatch.from_arrays([pa.array(docs, longs), pa.array(starts, longs), pa.array(totals, longs), pa.array(ends, ints), pa.array(used, pa.int32()), pa.array(matrix, pa.binary()), pa.array(places, pa.binary())], names=names)
 
 
+@textops.tidy
 def _pools(batches: Iterator[pa.RecordBatch], length: int, pool: int, pad: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int | None, np.ndarray]] = []
     tokens = 0

@@ -92,6 +92,7 @@ def grams(block: textops.Block) -> tuple[np.ndarray, np.ndarray]:
     return code, first
 
 
+@textops.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(K**ORDER, np.int64)
     held, size = [], 0

@@ -124,7 +124,9 @@ def coverage(text, limits: Limits = Limits()):
 
     @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in FIELDS.split(', '))}>")
     def run(texts: pa.Array) -> pa.Array:
-        return to_struct(measure(texts, limits))
+        out = to_struct(measure(texts, limits))
+        textops.give_back()
+        return out
 
     return run.asNondeterministic()(text)  # so that a filter on the result does not run it again
 

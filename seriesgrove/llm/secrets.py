@@ -137,6 +137,7 @@ def scan(text, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...]
         scanner = Scanner(classes, allow)
         found = [scanner.spans(t.as_py() or "") for t in texts]
         shaped = [pa.array([[{"kind": k, "start": a, "end": z} for a, z, k in f[i]] for f in found], _SPAN) for i in (0, 1)]
+        textops.give_back()
         return pa.StructArray.from_arrays(shaped, names=["base", "spans"])
 
     return run.asNondeterministic()(text)
@@ -159,6 +160,7 @@ def redact(text, mark: str = "[SECRET]", classes: tuple[CharClass, ...] = CLASSE
                     at = max(at, z)
                 s = "".join(parts) + s[at:] if parts else s
             out.append(s)
+        textops.give_back()
         return pa.array(out, pa.string())
 
     return run.asNondeterministic()(text)

@@ -8,7 +8,9 @@ it depends on nothing but the bytes, so every task of every run agrees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -164,3 +166,25 @@ def small_batches(spark, rows: int = 2000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """Returns memory that is no longer used to the system: workers are kept and used for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidy(stage: Callable) -> Callable:
+    """A generator that gives memory back at its end."""
+
+    @wraps(stage)
+    def run(*a, **b):
+        try:
+            yield from stage(*a, **b)
+        finally:
+            give_back()
+
+    return run

@@ -34,24 +34,30 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates are the runs of `run`; a window of `window` characters with `bits` of entropy or more is secret-like."""
+    """Candidates are the runs of `run`; a window of `window` characters with `bits` of entropy or more, and so many digits, is secret-like."""
 
     kind: str
     run: str
     window: int
     bits: float
+    digits: int = 0
 
 
-#: A base-64 window must also mix letters of both cases with digits, since plain words have high entropy, too.
-CLASSES = (CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7), CharClass("entropy_hexupper", r"[0-9A-F]{24,}", 24, 3.0))
-#: Whole candidates that are no secrets: UUIDs, digits only, words and paths with a short number at the end, well-known digests of nothing, placeholders.
+#: A base-64 window must also mix letters of both cases with digits, since plain words have high entropy, too; those of one case must have digits.
+CLASSES = (
+    CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7), CharClass("entropy_hexupper", r"[0-9A-F]{24,}", 24, 3.0),
+    CharClass("entropy_lower", r"[a-z0-9]{20,}", 20, 3.7, 2), CharClass("entropy_upper", r"[A-Z0-9]{20,}", 20, 3.7, 2),
+)
+#: Whole candidates that are no secrets: UUIDs, digits only, words and paths with a short number at the end, well-known digests of nothing, the sample key of a well-known manual.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9=_+/-]+",
     r"[A-Za-z/_+=-]+[0-9]{0,4}",
     r"(?i:d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)",
-    r"(?i:.*(?:example|placeholder|changeme|xxxxxxxx).*)",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
 )
+#: Pieces of candidates that are no secrets, whatever else is joined to them.
+PLACEHOLDER = re.compile(r"[A-Za-z0-9]*(?:example|placeholder|changeme|xxxxxxxx)[A-Za-z0-9]*", re.IGNORECASE)
 
 ORDER = {"assign": 0, "access": 1, "hex": 2} | {c.kind: 3 + i for i, c in enumerate(CLASSES)}
 
@@ -63,8 +69,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], ORDER[x[2]]))
 
 
-def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
-    """Merged ranges of the windows with that entropy or more.
+def high_windows(run: str, window: int, bits: float, digits: int = 0) -> list[tuple[int, int]]:
+    """Merged ranges of the windows with that entropy or more, and that many digits.
 
     H = log2(w) - (1/w) * sum of c*log2(c); the sum is kept while the window moves, in units of 2**-32, so that it stays
     exact however long the run is.
@@ -74,7 +80,7 @@ def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     unit = 1 << 32
     term = [0] + [round(c * math.log2(c) * unit) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
-    total = 0
+    total = held = 0
     most = window * (math.log2(window) - bits) * unit + window
     out: list[tuple[int, int]] = []
     for i, ch in enumerate(run):
@@ -83,10 +89,12 @@ def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
             c = counts[old]
             counts[old] = c - 1
             total += term[c - 1] - term[c]
+            held -= "0" <= old <= "9"
         c = counts.get(ch, 0)
         counts[ch] = c + 1
         total += term[c + 1] - term[c]
-        if i >= window - 1 and total <= most:
+        held += "0" <= ch <= "9"
+        if i >= window - 1 and total <= most and held >= digits:
             a = i - window + 1
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
@@ -95,27 +103,50 @@ def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
+def within(spans: list[tuple[int, int, str]]):
+    """Whether a range lies inside one of the spans."""
+    spans = sorted(spans)
+    begins, reach = [x for x, _, _ in spans], list(accumulate((y for _, y, _ in spans), max))
+    return lambda a, z: (i := bisect_right(begins, a)) > 0 and reach[i - 1] >= z
+
+
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.classes = [(c, re.compile(c.run)) for c in classes]
         self.allow = re.compile("|".join(f"(?:{x})" for x in allow)) if allow else None
 
+    def pieces(self, run: str) -> list[tuple[int, str]]:
+        """What is left of a candidate without placeholders, with its place."""
+        if not self.allow:
+            return [(0, run)]
+        out, at = [], 0
+        for m in PLACEHOLDER.finditer(run):
+            out.append((at, run[at : m.start()]))
+            at = m.end()
+        return [*out, (at, run[at:])]
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans, and all spans."""
         base = base_spans(text)
-        added = []
+        found: list[tuple[int, int, str]] = []
         for c, pattern in self.classes:
+            added, held = [], within(found)
             for m in pattern.finditer(text):
-                run = m[0]
-                if self.allow and self.allow.fullmatch(run):
+                if self.allow and self.allow.fullmatch(m[0]):
                     continue
-                for a, z in high_windows(run, c.window, c.bits):
-                    part = run[a:z]
-                    if c.kind == "entropy_base64" and not (re.search("[a-z]", part) and re.search("[A-Z]", part) and re.search("[0-9]", part)):
+                for at, run in self.pieces(m[0]):
+                    if self.allow and self.allow.fullmatch(run):
                         continue
-                    added.append((m.start() + a, m.start() + z, c.kind))
-        begins, reach = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
-        inside = lambda a, z: (i := bisect_right(begins, a)) > 0 and reach[i - 1] >= z
+                    for a, z in high_windows(run, c.window, c.bits, c.digits):
+                        part = run[a:z]
+                        if c.kind == "entropy_base64" and not (re.search("[a-z]", part) and re.search("[A-Z]", part) and re.search("[0-9]", part)):
+                            continue
+                        a, z = m.start() + at + a, m.start() + at + z
+                        if not held(a, z):
+                            added.append((a, z, c.kind))
+            found += added
+        added = found
+        inside = within(base)
         extra = [x for x in added if not inside(x[0], x[1])]
         order = {k: i for i, k in enumerate(["assign", "access", "hex", *(c.kind for c, _ in self.classes)])}
         return base, sorted(base + extra, key=lambda x: (x[0], order[x[2]], x[1]))

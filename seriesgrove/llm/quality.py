@@ -10,7 +10,9 @@ bound is why the model is one of character classes. Joining the corpus's own
 n-grams to the tables would shuffle several times the input.
 
 A document is kept if its perplexity is at most a threshold of its language: a
-multiple of a quantile of trusted documents' perplexity. Short texts are drawn
+multiple of a quantile of trusted documents' perplexity. The multiple is the one
+that tells trusted documents and those labelled bad apart with the fewest
+errors, one of `factor` where none is labelled bad. Short texts are drawn
 to their language's mean, as if they were longer by `prior` characters of it.
 
 Defined results: a null or empty text has the perplexity of its language's mean
@@ -66,7 +68,7 @@ def classes() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rule:
-    """The threshold is factor * the quantile of trusted perplexities in a language."""
+    """The threshold is a multiple of the quantile of trusted perplexities in a language: `factor`, unless labels of bad documents tell it."""
 
     quantile: float = 0.95
     factor: float = 1.15
@@ -185,6 +187,24 @@ def score(docs: DataFrame, text: str, model: np.ndarray, into: str) -> DataFrame
     return docs.withColumn(into, run.asNondeterministic()(F.col(text)))
 
 
+def fit_factor(rows: list[tuple[int, int, int]], default: float) -> float:
+    """The multiple of the quantile, 1 or more, with the fewest trusted documents above it and bad ones up to it.
+
+    rows: (thousandths of the quantile, trusted, bad). Of the best ones next to each other the middle; of several such the least.
+    """
+    if not any(bad for _, _, bad in rows):
+        return default
+    most = max(1000, *(at for at, _, _ in rows))
+    good, bad = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+    for at, g, b in rows:
+        good[at] += g
+        bad[at] += b
+    errors = (good.sum() - np.cumsum(good) + np.cumsum(bad))[1000:]
+    best = np.flatnonzero(errors == errors.min())
+    run = best[: int(np.argmax(np.append(np.diff(best) > 1, True))) + 1]
+    return 1 + float(run[0] + run[-1]) / 2000
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rule: Rule = Rule()) -> DataFrame:
     """id, language, n_chars, perplexity, threshold and kept of every row."""
     trusted = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("_good")).where("_good").select("_id")
@@ -200,10 +220,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     pooled = means.agg((F.sum("b") / F.sum("c")).alias("m")).first().m
     means = means.select(F.col(lang).alias("_lang"), (F.col("b") / F.col("c")).alias("_mean"))
     drawn = lambda f: f.join(means, F.col(lang).eqNullSafe(F.col("_lang")), "left").withColumn("perplexity", F.pow(F.lit(2.0), (F.col("bits") + rule.prior * F.coalesce("_mean", F.lit(pooled))) / (F.col("n_chars") + rule.prior))).drop("_lang", "_mean")
-    at = F.percentile_approx("perplexity", rule.quantile, 10000) * rule.factor
-    limit = drawn(known).groupBy(lang).agg(at.alias("threshold"))
+    at = F.percentile_approx("perplexity", rule.quantile, 10000)
+    limits = cut(drawn(known).groupBy(lang).agg(at.alias("threshold")).select(F.col(lang).alias("_lang"), "threshold"))
     every = drawn(known).agg(at.alias("t")).first().t
-    limits = limit.select(F.col(lang).alias("_lang"), "threshold")
+    bad = labels.where(F.col("quality") == 0).select(F.col(id_col).alias("_id")).distinct()
+    told = known.withColumn("_bad", F.lit(0)).unionByName(scored.join(bad, F.col(id_col) == F.col("_id"), "left_semi").where("n_chars > 0").withColumn("_bad", F.lit(1)))
+    share = F.ceil(F.least(F.col("perplexity") / F.coalesce("threshold", F.lit(every)), F.lit(4.0)) * 1000).cast("int")
+    bins = drawn(told).join(limits, F.col(lang).eqNullSafe(F.col("_lang")), "left").groupBy(share.alias("at")).agg(F.count_if(F.col("_bad") == 0).alias("good"), F.count_if(F.col("_bad") == 1).alias("bad"))
+    factor = fit_factor([tuple(r) for r in bins.collect()], rule.factor)  # at most 4001 rows
+    limits, every = limits.withColumn("threshold", F.col("threshold") * factor), every * factor
     out = drawn(scored).join(limits, F.col(lang).eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(every)))
     return out.select(id_col, lang, "n_chars", "perplexity", "threshold", ((F.col("n_chars") == 0) | (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
 

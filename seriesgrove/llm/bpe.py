@@ -9,10 +9,12 @@ those between the two places. A run of BPE tokens is the encoding of its text if
 each two neighbours are so, hence the joined tokens are those of the whole text.
 If no window agrees, the last one is the whole text itself.
 
-Within a piece, stretches between ASCII white space are encoded once and kept in
-a bounded table, since neither merges nor the patterns of the vocabulary reach
-across white space. Of a leaf, only the tokens near its ends carry offsets; a
-window that grows beyond them finds no agreement there and becomes whole.
+Within a piece, words between ASCII white space are encoded once and kept in a
+bounded table, since neither merges nor the patterns of the vocabulary reach
+across white space. The words of a block of texts are looked up together, by
+hash, and only new ones are sent to the vocabulary's library. Of a leaf, only
+the tokens near its ends carry offsets; a window that grows beyond them finds no
+agreement there and becomes whole.
 
 Defined results: a null or empty text has no tokens and decodes to an empty
 text. Repeated rows give repeated results. Keys may be null. Only the named key
@@ -31,11 +33,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesgrove.llm import textops
+from seriesgrove.llm.wordtable import WordTable, ragged
 
 #: Code points above which a text is cut, and of a leaf at most.
 LONG, LEAF = 32768, 8192
@@ -43,44 +47,38 @@ LONG, LEAF = 32768, 8192
 WINDOW, AGREE = 64, 4
 #: Code points at either end of a leaf whose tokens carry offsets.
 EDGE = 512
-#: Distinct stretches kept by a worker.
-KEPT = 300_000
 #: Bytes of text for which a worker holds results at once.
 HELD = 1 << 20
+#: Bytes of words and ids that a worker keeps from one task to the next, and bytes of a word that is kept.
+KEPT, WORD = 96 << 20, 128
 
-#: White space that str.split() knows besides the six ASCII separators.
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BLANK = re.compile("[\x20\x09-\x0d]")
-STRETCH = re.compile("[^\x20\x09-\x0d]+")
-
-
-#: Beyond these, letter case may depend on more than the vocabulary's own lower-casing of each character, or text be composed anew.
-UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
+#: Bytes from which a word's letter case may depend on more than each of its ASCII letters, since characters may be composed anew.
+UNSURE = 0xC9
 
 #: How a known vocabulary splits lower-case text, a fixed value; and, for all but the characters of NOT_SIMPLE, the same here.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_SIMPLE = re.compile("^.*[^\\n!-/0-9:-@\\[-`a-z{-~\xdf-\xf6\xf8-\xff\u0153].*$", re.M)
-BREAK = ("\n",)
 SPLIT = re.compile("\\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0153]+|[0-9]|[^\\na-z0-9\xdf-\xf6\xf8-\xff\u0153]+")
 
 
 class Encoder:
-    """Encodes with one vocabulary; `table` keeps stretches and their ids as little-endian unsigned 32-bit integers."""
+    """Encodes with one vocabulary; `table` keeps words and their ids."""
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.table: dict[str, bytes] = {}
+        self.tokenizer, self.table = Tokenizer.from_file(path), WordTable(kept)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.strings = pa.array(self.tokens, pa.string())
         # Only a vocabulary that lower-cases anyway gives capitals and small letters the same ids.
         self.folds = self.raw("A Q\u00c9") == self.raw("a q\u00e9")
         self.splits = self.folds and json.dumps(KNOWN_SPLIT) in self.tokenizer.to_str() and '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str()
-        self.last = [t is not None and t.endswith("</w>") for t in self.tokens]
+        self.last = np.array([t is not None and t.endswith("</w>") for t in self.tokens], bool)
 
     def raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -89,66 +87,145 @@ class Encoder:
         """As the vocabulary's library does where it has no decoder, from a table; as it does in any case otherwise."""
         return " ".join(map(self.tokens.__getitem__, ids)) if self.tokenizer.decoder is None else self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def learn(self, stretches: set[str]) -> dict[str, bytes]:
-        """Adds stretches to the table, the parts that they are split into being encoded together; those too long to keep are returned."""
-        table, rare = self.table, {}
-        if self.splits:
-            whole = "\n".join([x for x in stretches if len(x) <= 64 and "<|" not in x])
-            if odd := NOT_SIMPLE.findall(whole):
-                odd = set(odd)
-                whole = "\n".join([x for x in whole.split("\n") if x not in odd])
-            found = SPLIT.findall(whole)  # the line breaks between the stretches are parts of their own
-            parts = list(set(found).difference(table, BREAK))
-            for lo in range(0, len(parts), 1024):
-                some = parts[lo : lo + 1024]
-                ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-                ends = [i + 1 for i, t in enumerate(ids) if self.last[t]]
-                if len(ends) == len(some):
-                    packed = pack_ids(ids)
-                    table.update((p, packed[4 * a : 4 * z]) for p, a, z in zip(some, [0, *ends], ends, strict=False))
-            if all(p in table for p in parts):
-                first = 0
-                for x in whole.split("\n"):
-                    end = first
-                    length = len(x)
-                    while length > 0:
-                        length -= len(found[end])
-                        end += 1
-                    if end - first > 1:
-                        table[x] = b"".join([table[p] for p in found[first:end]])
-                    first = end + 1
-        for x in stretches.difference(table):
-            (table if len(x) <= 64 else rare)[x] = pack_ids(self.raw(x))
-        return rare
-
-    def stretches(self, text: str) -> list[str]:
-        if self.folds and not UNSURE.search(text) and "<|" not in text:
-            text = text.lower()
-        return STRETCH.findall(text) if ODD.search(text) else text.split()
-
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that are not cut."""
-        found = [self.stretches(t) for t in texts]
-        words = set().union(*found)
-        held = dict(zip(words, map(self.table.get, words), strict=True))
-        new = {x for x, ids in held.items() if ids is None}
-        if new:
-            if len(self.table) + len(new) > self.kept:
-                self.table.clear()
-            rare = self.learn(new)
-            held.update((x, rare[x] if x in rare else self.table[x]) for x in new)
-        return [b"".join(map(held.__getitem__, f)) for f in found]
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """decode() of stretches of ids."""
+        if self.tokenizer.decoder is None and not self.strings.null_count:
+            words = self.strings.take(pa.array(ids, pa.uint32()))
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), words), " ").cast(pa.string())
+        return pa.array([self.decode(ids[a:z].tolist()) for a, z in zip(bounds, bounds[1:], strict=False)], pa.string())
+
+    def parts(self, words: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for simple lower-case words, one a line; the parts that they are split into are encoded together and kept."""
+        coded = pa.array(SPLIT.findall(words), pa.string()).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        _, offsets, data = distinct.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[: len(distinct) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        line = (lengths == 1) & (data[starts] == 10)  # the breaks between the words are parts of their own
+        hashes = textops.hash_words(data, starts, offsets[1:])
+        own = np.flatnonzero(~line)
+        at = self.table.lookup(hashes[own], data, starts[own], lengths[own])
+        counts = np.zeros(len(distinct), np.int64)
+        made: list[np.ndarray] = []
+        new = own[at < 0]
+        for lo in range(0, len(new), 1024):
+            some = new[lo : lo + 1024]
+            texts = distinct.take(pa.array(some)).to_pylist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                each = [self.raw(t) for t in texts]
+                ids, ends = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
+            counts[some] = np.diff(ends, prepend=0)
+            made.append(ids)
+        fresh = np.concatenate(made) if made else np.zeros(0, np.uint32)
+        held, sizes = self.table.young.ids.take(at[at >= 0])
+        counts[own[at >= 0]] = sizes
+        flat = np.concatenate([held, fresh])
+        begin = np.zeros(len(distinct), np.int64)
+        order = np.concatenate([own[at >= 0], new])
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        if (at == -1).any():  # not of those whose hash another word has
+            keep = own[at == -1]
+            self.table.add(hashes[keep], data, starts[keep], lengths[keep], flat[ragged(begin[keep], counts[keep])], counts[keep])
+        breaks = line[codes]
+        word, inner = np.cumsum(breaks)[~breaks], codes[~breaks]
+        return flat[ragged(begin[inner], counts[inner])], np.bincount(word, counts[inner], int(breaks.sum()) + 1).astype(np.int64)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for different words that are not held; those of at most WORD bytes are kept."""
+        copy = data[np.minimum(ragged(starts, lengths + 1), len(data) - 1)]
+        copy[np.cumsum(lengths + 1) - 1] = 10
+        text = copy[:-1].tobytes().decode()
+        words = text.split("\n")
+        simple = (lengths <= WORD) & self.splits
+        if simple.any() and (odd := set(NOT_SIMPLE.findall(text))):
+            simple &= np.array([w not in odd for w in words], bool)
+        ids: list[np.ndarray] = []
+        counts = np.zeros(len(words), np.int64)
+        easy, hard = np.flatnonzero(simple), np.flatnonzero(~simple)
+        if len(easy):
+            found, counts[easy] = self.parts(text if not len(hard) else "\n".join([words[i] for i in easy.tolist()]))
+            ids.append(found)
+        for i in hard.tolist():
+            ids.append(np.array(self.raw(words[i]), np.uint32))
+            counts[i] = len(ids[-1])
+        flat, order = np.concatenate(ids), np.concatenate([easy, hard])
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        flat = flat[ragged(begin, counts)]
+        keep = np.flatnonzero(lengths <= WORD)
+        keep = keep[self.table.young.find(hashes[keep]) < 0]  # a word of one part is held already
+        begin = np.cumsum(counts) - counts
+        self.table.add(hashes[keep], data, starts[keep], lengths[keep], flat[ragged(begin[keep], counts[keep])], counts[keep])
+        return flat, counts
+
+    def block(self, b: textops.Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block, one after another, and their number in each text."""
+        self.table.turn()
+        starts, ends, first = b.words()
+        data = b.data
+        if self.folds:
+            data = textops.LOWER[data]
+            latin = np.flatnonzero(data[:-1] == 0xC3) + 1  # the capitals of Latin-1
+            data[latin[(data[latin] <= 0x9E) & (data[latin] != 0x97)]] += 0x20
+            if len(high := np.flatnonzero(data >= UNSURE)):
+                odd = np.unique(np.searchsorted(starts, high, "right") - 1)
+                at = ragged(starts[odd], (ends - starts)[odd])
+                data[at] = b.data[at]
+        lengths = ends - starts
+        hashes = textops.hash_words(data, starts, ends)
+        hashes, one, word = np.unique(hashes, return_index=True, return_inverse=True)
+        own, size = starts[one], lengths[one]
+        at = self.table.lookup(hashes, data, own, size)
+        new, held = np.flatnonzero(at == -1), np.flatnonzero(at >= 0)
+        flat, counts = self.table.young.ids.take(at[held])
+        ids, begin, number = [flat], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        number[held], begin[held] = counts, np.cumsum(counts) - counts
+        if len(new):
+            more, counts = self.learn(data, own[new], size[new], hashes[new])
+            number[new], begin[new] = counts, np.cumsum(counts) - counts + len(flat)
+            ids.append(more)
+        ids, counts = np.concatenate(ids)[ragged(begin[word], number[word])], number[word]
+        found = np.append(0, np.cumsum(counts))[first]
+        # Texts with a special token, or a word whose hash another word has, go to the library as they are.
+        alone = np.zeros(len(b), bool)
+        same = lengths == size[word]
+        as_long = slice(None) if same.all() else np.flatnonzero(same)
+        length = lengths[as_long]
+        differ = data[ragged(starts[as_long], length)] != data[ragged(own[word][as_long], length)]
+        if differ.any():
+            same[np.repeat(np.arange(len(word))[as_long], length)[differ]] = False
+        alone[np.searchsorted(first, np.flatnonzero(~same | (at[word] == -2)), "right") - 1] = True
+        whole = b.data.tobytes()
+        if b"<|" in whole:
+            alone |= np.array([b"<|" in whole[a:z] for a, z in zip(b.bounds, b.bounds[1:], strict=False)], bool)
+        if not alone.any():
+            return ids, np.diff(found)
+        each = [np.array(self.raw(whole[b.bounds[i] : b.bounds[i + 1]].decode()), np.uint32) if alone[i] else ids[found[i] : found[i + 1]] for i in range(len(b))]
+        return np.concatenate(each), np.array([len(e) for e in each], np.int64)
+
+    def pieces(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By block of texts that are not cut: the first text, ids one after another, and their bounds (one more at the end)."""
+        for b in textops.blocks(texts, HELD):
+            ids, counts = self.block(b)
+            yield b.first, ids, np.append(0, np.cumsum(counts))
 
     def piece(self, text: str) -> bytes:
-        return self.pieces([text])[0]
-
-    def leaf(self, text: str, at: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of a leaf: rows with offsets of its head, ids of its middle, rows of its tail; the middle begins and ends at white space."""
-        head, tail = BLANK.search(text, edge), BLANK.search(text[::-1], edge)
-        a, z = (head.start() if head else len(text)), (len(text) - tail.start() if tail else 0)
-        if a >= z:
-            return self.located(text, at), np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
-        return self.located(text[:a], at), np.array(unpack_ids(self.piece(text[a:z])), np.int64), self.located(text[z:], at + z)
+        return b"".join(ids.astype("<u4").tobytes() for _, ids, _ in self.pieces(pa.array([text], pa.string())))
+
+    def leaves(self, texts: list[str], at: list[int], edge: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tokens of leaves: rows with offsets of the head, ids of the middle, rows of the tail; the middle begins and ends at white space."""
+        cuts = []
+        for text in texts:
+            head, tail = BLANK.search(text, edge), BLANK.search(text[::-1], edge)
+            a, z = (head.start() if head else len(text)), (len(text) - tail.start() if tail else 0)
+            cuts.append((a, z) if a < z else (len(text), len(text)))
+        middles = []
+        for _, ids, bounds in self.pieces(pa.array([t[a:z] for t, (a, z) in zip(texts, cuts, strict=True)], pa.string())):
+            middles += [ids[a:z].astype(np.int64) for a, z in zip(bounds, bounds[1:], strict=False)]
+        return [(self.located(t[:a], o), m, self.located(t[z:], o + z)) for t, o, (a, z), m in zip(texts, at, cuts, middles, strict=True)]
 
     def located(self, text: str, at: int = 0) -> np.ndarray:
         """Rows of (id, start, end) of a text that begins at code point `at`."""
@@ -162,13 +239,6 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
 def unpack_ids(data: bytes) -> list[int]:
     out = array("I", data)
     if sys.byteorder == "big":
@@ -239,7 +309,7 @@ def by_tree(enc: Encoder, text: str, leaf: int = LEAF, window: int = WINDOW, edg
     """Ids of a text by tree concatenation in one process."""
     bounds = halves(len(text), leaf)
     encode = lambda a, z: enc.located(text[a:z], a)
-    return concatenate([whole_rows(*enc.leaf(text[a:z], a, edge)) for a, z in zip(bounds, bounds[1:], strict=False)], bounds, encode, window)[:, 0]
+    return concatenate([whole_rows(*found) for found in enc.leaves([text[a:z] for a, z in zip(bounds, bounds[1:], strict=False)], bounds[:-1], edge)], bounds, encode, window)[:, 0]
 
 
 def _names(keys: list[str], decode: bool) -> list[str]:
@@ -250,12 +320,12 @@ def _names(keys: list[str], decode: bool) -> list[str]:
 def _whole(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], decode: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
-        for b in textops.blocks(batch.column(len(keys)), HELD):
-            part = batch.slice(b.first, len(b))
-            ids = enc.pieces([t or "" for t in part.column(len(keys)).to_pylist()])
-            results = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *([pa.array([enc.decode(unpack_ids(x)) for x in ids], pa.string())] if decode else [])]
+        for first, ids, bounds in enc.pieces(batch.column(len(keys))):
+            part = batch.slice(first, len(bounds) - 1)
+            data = pa.py_buffer(ids.astype("<u4", copy=False))
+            packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((4 * bounds).astype(np.int32)), data])
+            results = [pa.array(np.diff(bounds), pa.int64()), packed, *([enc.decode_all(ids, bounds)] if decode else [])]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *results], names=_names(keys, decode))
-    enc.table.clear()
 
 
 @textops.tidy
@@ -277,10 +347,9 @@ def _leaves(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         n = batch.num_columns
         at, pieces = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-        found = [enc.leaf(p, a, EDGE) for a, p in zip(at, pieces, strict=True)]
+        found = enc.leaves(pieces, at, EDGE)
         packed = [pa.array([f[i].astype("<u4").tobytes() for f in found], pa.binary()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "_head", "_middle", "_tail"])
-    enc.table.clear()
 
 
 def _join(table: pa.Table, path: str, keys: list[str], decode: bool) -> pa.Table:

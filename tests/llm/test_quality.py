@@ -2,43 +2,51 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
 from seriesgrove.llm import quality, textops
-from tests.llm.helpers import documents, edge_rows
+from tests.llm.helpers import documents, edge_rows, write_sf
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
 
 def codes(text):
-    kinds = [quality.EDGE] * 3 + [int(quality.classes()[ord(c)]) if ord(c) < 65536 else quality.REST for c in text]
-    return [tuple(kinds[i : i + 4]) for i in range(len(text))]
+    points = [quality.EDGE] * 3 + [min(ord(c), quality.REST) for c in text]
+    return [tuple(points[i : i + 4]) for i in range(len(text))]
+
+
+def number(g):
+    """The signed 64-bit integer of an n-gram."""
+    n = sum(c << 16 * i for i, c in enumerate(reversed(g)))
+    return n - (1 << 64) if n >= 1 << 63 else n
 
 
 def test_grams_match_the_plain_version():
-    texts = ["", "a", "Ab é", "x\n\n中😀!", None, "hello world, 123"]
+    texts = ["", "a", "Ab é", "x\n\n中😀!", None, "hello world, 123", "\uffff\ufffe豈 \u8000"]
     for limit in (1, 8, 1000):
         got = []
         for b in textops.blocks(pa.array(texts), limit):
             code, first = quality.grams(b)
             got += [code[a:z].tolist() for a, z in zip(first, first[1:], strict=False)]
-        assert got == [[((a * 40 + b) * 40 + c) * 40 + d for a, b, c, d in codes(t or "")] for t in texts]
+        assert got == [[number(g) for g in codes(t or "")] for t in texts]
 
 
 def plain_model(texts):
-    """Interpolated modified Kneser-Ney over 4-grams of classes, by dictionaries."""
+    """Interpolated modified Kneser-Ney over 4-grams of characters, by dictionaries."""
     counts = [None, None, None, Counter(g for t in texts for g in codes(t))]
     for n in (2, 1, 0):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     d = [quality.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for c in counts]
+    rows = [{} for _ in counts]
+    for c, of in zip(counts, rows, strict=True):
+        for g, v in c.items():
+            of.setdefault(g[:-1], {})[g] = v
 
     def p(g):
         if not g:
-            return 1 / quality.K
-        c = counts[len(g) - 1]
-        own = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+            return 1 / (len(counts[0]) + 1)
+        own = rows[len(g) - 1].get(g[:-1])
         lower = p(g[1:])
         if not own:
             return lower
@@ -51,15 +59,19 @@ def plain_model(texts):
 
 def test_probabilities_match_the_plain_model(spark):
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(rng.randint(1, 12))) + "." for _ in range(30)]
-    counts = quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string"))
-    bits = quality.dense(*quality.kneser_ney(counts)).astype(float)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mät", "猫\ufffd"]) for _ in range(rng.randint(1, 12))) + "." for _ in range(30)]
+    model = quality.kneser_ney(quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")))
     p = plain_model(texts)
     seen = list({g for t in texts for g in codes(t)})
-    other = [tuple(rng.randrange(quality.K) for _ in range(4)) for _ in range(50)] + [(*g[:3], rng.randrange(quality.K)) for g in seen[:50]]
-    for g in seen + other:
-        assert 2 ** -bits[((g[0] * 40 + g[1]) * 40 + g[2]) * 40 + g[3]] == pytest.approx(p(g), rel=1e-4)
-    assert np.exp2(-bits).reshape(-1, quality.K).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    letters = sorted({c for g in seen for c in g} - {0}) + [ord("Q")]  # Q stands for all that were never seen
+    asked = {*seen, *((*g[:3], c) for g in seen[:40] for c in letters), *((ord("Q"), ord("x"), ord("a"), c) for c in letters)}
+    frame = spark.createDataFrame([(number(g),) for g in asked], "code bigint")
+    got = {r.code: r.p for r in quality.probabilities(frame, model).collect()}
+    assert len(got) == len(asked)
+    for g in asked:
+        assert got[number(g)] == pytest.approx(p(g), rel=1e-9)
+    for g in seen[:40]:
+        assert sum(got[number((*g[:3], c))] for c in letters) == pytest.approx(1)
 
 
 def corpus(n=240, seed=4):
@@ -88,6 +100,40 @@ def test_held_out_documents_are_told_apart(spark):
     assert all(r.kept == good[r.doc_id] for r in held)
 
 
+def test_the_query_matches_a_plain_version(spark, tmp_path):
+    """Perplexities, thresholds and decisions of the whole query, from dictionaries."""
+    rows, labels, _ = corpus(640, seed=11)
+    rows += [(900, None, "en", "a", 0), (901, "", "fr", "a", 0), (902, "the cat 中😀", None, "a", 3), (903, rows[1][1], "de", "b", 1)]
+    labels += [(1, 1, 1), (902, 1, 0)]
+    sf = write_sf(spark, tmp_path, rows)
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{sf}/labels.parquet")
+    out = {r.doc_id: r for r in quality.op4_quality_classifier(spark, sf).collect()}
+    assert set(out) == {r[0] for r in rows}
+    rule = quality.Rule()
+    ids = sorted({i for i, *_ in labels})
+    held = {r.i for r in spark.createDataFrame([(i,) for i in ids], "i bigint").where(f"pmod(xxhash64(i), {rule.held_out}) = 0").collect()}
+    good = {i for i in ids if all(q == 1 and t == 0 for j, q, t in labels if j == i)}
+    bad = {i for i in ids if any(q == 0 for j, q, t in labels if j == i)}
+    texts = {r[0]: (r[2], r[1] or "") for r in rows}
+    p = plain_model([texts[i][1] for i in good - held])
+    bits = {i: sum(-math.log2(p(g)) for g in codes(t)) for i, (_, t) in texts.items()}
+    own = [i for i in good & held if texts[i][1]]
+    mean = lambda some: sum(bits[i] for i in some) / sum(len(texts[i][1]) for i in some)
+    langs = {lang: [i for i in own if texts[i][0] == lang] for lang in {texts[i][0] for i in own}}
+    means = {lang: mean(some) for lang, some in langs.items() if len(some) >= rule.least}
+    assert len(means) in (1, 2)
+    value = {i: 2 ** ((bits[i] + rule.prior * means.get(lang, mean(own))) / (len(t) + rule.prior)) for i, (lang, t) in texts.items()}
+    quantile = lambda some: sorted(value[i] for i in some)[math.ceil(rule.quantile * len(some)) - 1]
+    limit = {i: quantile(langs[lang]) if lang in means else quantile(own) for i, (lang, _) in texts.items()}
+    shares = Counter()
+    for i in [*own, *(i for i in bad if texts[i][1])]:
+        shares[math.ceil(min(value[i] / limit[i], 4) * 1000), i in bad] += 1
+    factor = quality.fit_factor([(at, shares[at, False], shares[at, True]) for at in {a for a, _ in shares}], rule.factor)
+    for i, r in out.items():
+        assert r.perplexity == pytest.approx(value[i], rel=1e-9) and r.threshold == pytest.approx(limit[i] * factor, rel=1e-9)
+        assert r.kept == (not texts[i][1] or value[i] <= limit[i] * factor) and r.n_chars == len(texts[i][1])
+
+
 def test_edges(spark):
     rows, labels, _ = corpus(60)
     odd = [(1000 + i if i is None else i + 1000, *rest) if i is not None else (None, *rest) for i, *rest in edge_rows()]

@@ -8,14 +8,17 @@ the response's id alone, so that reruns agree.
 
 Defined results: null bytes have no records. A record that is cut off or
 malformed gives one row with the reason in `error`, and ends its file's rows,
-since what follows cannot be found. Records other than responses are skipped.
-For pages, a null text counts as an empty body, a null address as none.
+since what follows cannot be found; so does a gzip member that unpacks to more
+than UNPACKED bytes. Records other than responses are skipped. A body whose
+chunks or packing are broken, or that unpacks to more than that, is taken as it
+is; an unknown or unusable charset counts as UTF-8. For pages, a null text
+counts as an empty body, a null address as none.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
+import codecs
 import hashlib
 import html
 import re
@@ -32,6 +35,8 @@ from pyspark.sql import types as T
 #: Names ids and dates where a source has none.
 SPACE = uuid.UUID("6c0e2f0e-3a5b-5d0c-9f4e-1d2b7c8a9e01")
 UNDATED = "1970-01-01T00:00:00Z"
+#: Bytes to which a packed member or body may unpack.
+UNPACKED = 1 << 28
 
 
 class Malformed(ValueError):
@@ -68,30 +73,40 @@ def header_lines(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def members(data: bytes) -> Iterator[bytes]:
+def unpacked(data: bytes, limit: int) -> tuple[bytes, bytes]:
+    """The first gzip member of some bytes, and what follows it."""
+    unpack = zlib.decompressobj(31)
+    try:
+        part = unpack.decompress(data, limit)
+    except zlib.error as e:
+        raise Malformed(f"gzip: {e}") from e
+    if not unpack.eof:
+        raise Malformed("a gzip member is too long" if len(part) >= limit else "a gzip member is cut off")
+    return part, unpack.unused_data
+
+
+def members(data: bytes, limit: int = UNPACKED) -> Iterator[bytes]:
     """The parts of a file, unpacked if each is a gzip member."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
     while data:
-        unpack = zlib.decompressobj(31)
-        try:
-            part = unpack.decompress(data) + unpack.flush()
-        except zlib.error as e:
-            raise Malformed(f"gzip: {e}") from e
-        if not unpack.eof:
-            raise Malformed("a gzip member is cut off")
+        part, data = unpacked(data, limit)
         yield part
-        data = unpack.unused_data
+
+
+LENGTH = re.compile(r"[0-9]{1,18}", re.ASCII)
 
 
 def records(data: bytes) -> Iterator[Record]:
     """The records of a file, one after the other."""
     for part in members(data):
         at = 0
-        while part[at:].strip(b"\r\n"):
+        while True:
             while part[at : at + 1] in (b"\r", b"\n"):
                 at += 1
+            if at >= len(part):
+                break
             if part[at : at + 5] != b"WARC/":
                 raise Malformed("no version line")
             end = part.find(b"\r\n\r\n", at)
@@ -100,7 +115,7 @@ def records(data: bytes) -> Iterator[Record]:
             headers = header_lines(part[part.find(b"\r\n", at) + 2 : end])
             found = Record("", headers)
             length = found.get("Content-Length") or ""
-            if not length.isdecimal():
+            if not LENGTH.fullmatch(length):
                 raise Malformed("no content length")
             block = part[end + 4 : end + 4 + int(length)]
             if len(block) < int(length):
@@ -119,25 +134,41 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status.decode("utf-8", "replace"), header_lines(rest), body
 
 
-def decoded_body(headers: list[tuple[str, str]], body: bytes) -> bytes:
+CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The chunks of a body; None if they are broken. A body that ends early is what came."""
+    out, at = [], 0
+    while at < len(body):
+        size = CHUNK.match(body, at)
+        if not size:
+            return None
+        n = int(size[1], 16)
+        if not n:
+            break
+        out.append(body[size.end() : size.end() + n])
+        at = size.end() + n + 2
+    return b"".join(out)
+
+
+def decoded_body(headers: list[tuple[str, str]], body: bytes, limit: int = UNPACKED) -> bytes:
     """The body without transfer and content encodings; as it is where these are broken or unknown."""
     named = {k.lower(): v.lower() for k, v in headers}
     if "chunked" in named.get("transfer-encoding", ""):
-        out, at = [], 0
-        while (end := body.find(b"\r\n", at)) >= 0:
-            try:
-                n = int(body[at:end].split(b";")[0], 16)
-            except ValueError:
-                return body
-            if n == 0:
-                break
-            out.append(body[end + 2 : end + 2 + n])
-            at = end + 4 + n
-        body = b"".join(out)
+        whole = unchunked(body)
+        if whole is None:
+            return body
+        body = whole
     if "gzip" in named.get("content-encoding", ""):
         try:
-            body = gzip.decompress(body)
-        except (OSError, EOFError, zlib.error):
+            parts, rest = [], body
+            while rest[:2] == b"\x1f\x8b" or not parts:
+                part, rest = unpacked(rest, limit - sum(map(len, parts)) + 1)
+                parts.append(part)
+            if sum(map(len, parts)) <= limit:
+                body = b"".join(parts)
+        except Malformed:
             pass
     return body
 
@@ -157,13 +188,17 @@ def plain_text(page: str) -> str:
     return LINES.sub("\n", BLANKS.sub(" ", page)).strip()
 
 
+#: Codecs that Python knows by name but no page is written in.
+NO_CHARSETS = {"idna", "punycode", "undefined", "unicode-escape", "raw-unicode-escape"}
+
+
 def text_of(headers: list[tuple[str, str]], body: bytes) -> str:
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     name = CHARSET.search(kind) or CHARSET.search(body[:1024].decode("latin-1"))
     body = decoded_body(headers, body)
     try:
-        text = body.decode(name[1] if name else "utf-8", "replace")
-    except LookupError:
+        text = body.decode(name[1] if name and codecs.lookup(name[1]).name not in NO_CHARSETS else "utf-8", "replace")
+    except (LookupError, UnicodeError):
         text = body.decode("utf-8", "replace")
     return plain_text(text) if "html" in kind.lower() or not kind or "<html" in text[:1024].lower() else text
 

@@ -2,13 +2,16 @@
 
 A container is a tree of boxes. The reader walks nested boxes by their sizes
 (32-bit, 64-bit, or to the end), decodes the sample tables of each track (stts,
-stsc, stsz or stz2, stco or co64, stss) and gives codec, duration and the byte
-ranges of the keyframes. It reads headers only: payload bytes in mdat are
-sliced when asked for and never decoded.
-
-Defined results: null bytes, bytes without a moov box and broken boxes give
-null columns and the reason in `error`. A track without stss has only
-keyframes. For texts, a null counts as empty; equal texts give equal values.
+stsc, stsz or stz2, stco or co64, stss) and the runs of its fragments (tfhd,
+trun, with the defaults of trex), and gives codec, duration and the byte ranges
+of the keyframes of every track. It reads headers only: payload bytes in mdat
+are sliced when asked for and never decoded.
+
+Defined results: null bytes, bytes without a moov box or a track, broken boxes
+and offsets outside the bytes give null columns and the reason in `error`. A
+track without stss has only keyframes. The flat columns are those of the first
+track, `tracks` has all in their order. A fragmented track whose duration is 0
+has that of its samples. For texts, a null counts as empty; equal texts give equal values.
 """
 
 from __future__ import annotations
@@ -75,6 +78,7 @@ def table(data: memoryview, at: int, end: int, count: int, dtype: str, columns:
 
 @dataclass
 class Track:
+    number: int
     codec: str
     timescale: int
     duration: int
@@ -89,19 +93,91 @@ class Track:
 
 
 def tracks(data: bytes) -> list[Track]:
-    """The tracks of a container."""
+    """The tracks of a container, with the samples of its fragments."""
     view = memoryview(data)
-    movies = [(a, z) for kind, a, z in boxes(view, 0, len(view)) if kind == b"moov"]
+    top = list(boxes(view, 0, len(view)))
+    movies = [(a, z) for kind, a, z in top if kind == b"moov"]
     if not movies:
         raise Broken("no moov box")
-    out = []
+    out, defaults = [], {}
     for lo, hi in movies:
-        for kind, a, z in boxes(view, lo, hi):
-            if kind == b"trak":
+        for path, a, z in walk(view, lo, hi):
+            if path == (b"trak",):
                 out.append(track(view, a, z))
+            elif path == (b"mvex", b"trex"):
+                number, _, *rest = words(view, a + 4, z, 5)
+                defaults[number] = rest
+    begin = 0
+    for kind, a, z in top:
+        if kind == b"moof":
+            fragment(view, begin, a, z, {t.number: t for t in out}, defaults)
+        begin = z
+    for t in out:
+        if t.duration == 0:
+            t.duration = int(t.durations.sum())
     return out
 
 
+def words(data: memoryview, at: int, end: int, n: int) -> tuple[int, ...]:
+    """n unsigned 32-bit integers."""
+    if at + 4 * n > end:
+        raise Broken("a field is cut off")
+    return struct.unpack_from(f">{n}I", data, at)
+
+
+def fragment(data: memoryview, begin: int, lo: int, hi: int, named: dict[int, Track], defaults: dict[int, list[int]]) -> None:
+    """Adds the samples of the movie fragment whose box begins at `begin` to their tracks."""
+    before = begin  # where the data of the track before ends
+    for kind, a, z in boxes(data, lo, hi):
+        if kind != b"traf":
+            continue
+        inner = list(boxes(data, a, z))
+        heads = [(x, y) for k, x, y in inner if k == b"tfhd"]
+        if not heads:
+            raise Broken("no tfhd box")
+        x, y = heads[0]
+        flags, number = words(data, x, y, 2)
+        x += 8
+        if number not in named:
+            raise Broken("a fragment names a missing track")
+        t, usual = named[number], list(defaults.get(number, [0, 0, 0]))
+        base = begin if flags & 0x20000 else before
+        if flags & 1:
+            high, low = words(data, x, y, 2)
+            base, x = high << 32 | low, x + 8
+        x += 4 if flags & 2 else 0
+        for i, bit in enumerate((8, 16, 32)):
+            if flags & bit:
+                (usual[i],), x = words(data, x, y, 1), x + 4
+        at = base
+        for k, x, y in inner:
+            if k != b"trun":
+                continue
+            flags, n = words(data, x, y, 2)
+            x += 8
+            if flags & 1:
+                (shift,), x = words(data, x, y, 1), x + 4
+                at = base + (shift - (1 << 32) if shift >> 31 else shift)
+            first = None
+            if flags & 4:
+                (first,), x = words(data, x, y, 1), x + 4
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if not fields and n > len(data):
+                raise Broken("more samples than bytes")
+            rows = table(data, x, y, n, ">u4", len(fields)) if fields else np.zeros((n, 0), np.int64)
+            times, sizes, marks = (rows[:, fields.index(bit)] if bit in fields else np.full(n, usual[i], np.int64) for i, bit in enumerate((0x100, 0x200, 0x400)))
+            if first is not None and n:
+                marks = marks.copy()
+                marks[0] = first
+            offsets = at + np.cumsum(sizes) - sizes if 0 <= at <= len(data) else np.full(n, -1)
+            if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+                raise Broken("a sample is outside the bytes")
+            at += int(sizes.sum())
+            t.sync = np.append(t.sync, len(t.sizes) + np.flatnonzero(marks & 0x10000 == 0))
+            t.offsets, t.sizes, t.durations = np.append(t.offsets, offsets), np.append(t.sizes, sizes), np.append(t.durations, times)
+        before = at
+
+
 def track(data: memoryview, lo: int, hi: int) -> Track:
     found = {path[-1]: (a, z) for path, a, z in walk(data, lo, hi)}
 
@@ -115,6 +191,8 @@ def track(data: memoryview, lo: int, hi: int) -> Track:
             raise Broken("a field is cut off")
         return struct.unpack_from(form, data, at)[0]
 
+    a, z = body(b"tkhd") if b"tkhd" in found else (0, 0)
+    named = number(a + (20 if number(a, z, ">B") == 1 else 12), z) if z else 0
     a, z = body(b"mdhd")
     long = number(a, z, ">B") == 1
     timescale = number(a + (20 if long else 12), z)
@@ -156,7 +234,7 @@ def track(data: memoryview, lo: int, hi: int) -> Track:
     before = np.cumsum(sizes) - sizes
     lead = np.cumsum(per_chunk) - per_chunk
     offsets = chunks[chunk] + before - before[lead[chunk]] if n else np.zeros(0, np.int64)
-    if n and (offsets + sizes).max() > len(data):
+    if n and (chunks.min() < 0 or chunks.max() > len(data) or (offsets + sizes).max() > len(data)):  # offsets of 64 bits may wrap
         raise Broken("a sample is outside the bytes")
     sync = np.arange(n)
     if b"stss" in found:
@@ -164,7 +242,7 @@ def track(data: memoryview, lo: int, hi: int) -> Track:
         sync = table(data, a + 8, z, number(a + 4, z), ">u4")[:, 0] - 1
         if len(sync) and (sync.min() < 0 or sync.max() >= n):
             raise Broken("stss names a missing sample")
-    return Track(codec, timescale, duration, offsets, sizes, durations, sync)
+    return Track(named, codec, timescale, duration, offsets, sizes, durations, sync)
 
 
 def stored(data: bytes, t: Track) -> bytes:
@@ -222,20 +300,24 @@ def container(payload: bytes, unit: int = UNIT, group: int = GROUP, rate: int =
     return kind + head(at, wide) + box(b"mdat", payload)
 
 
-COLUMNS = "codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<start:bigint,end:bigint>>, error string"
-_TYPES = {"codec": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "n_samples": pa.int64(), "keyframes": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "error": pa.string()}
+_KEYS = "array<struct<start:bigint,end:bigint>>"
+COLUMNS = f"codec string, timescale bigint, duration bigint, n_samples bigint, keyframes {_KEYS}, tracks array<struct<track_id:bigint,codec:string,timescale:bigint,duration:bigint,n_samples:bigint,keyframes:{_KEYS}>>, error string"
+_TRACK = {"codec": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "n_samples": pa.int64(), "keyframes": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+_TYPES = _TRACK | {"tracks": pa.list_(pa.struct([("track_id", pa.int64()), *_TRACK.items()])), "error": pa.string()}
 
 
 def describe(data: bytes | None) -> dict:
-    """The columns of the first track."""
+    """The columns of a container."""
     try:
         if data is None:
             raise Broken("no bytes")
-        found = tracks(data)
+        found = [
+            {"track_id": t.number, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": [{"start": a, "end": z} for a, z in t.ranges().tolist()]}
+            for t in tracks(data)
+        ]
         if not found:
             raise Broken("no track")
-        t = found[0]
-        return {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": [{"start": a, "end": z} for a, z in t.ranges().tolist()], "error": None}
+        return {k: found[0][k] for k in _TRACK} | {"tracks": found, "error": None}
     except Broken as e:
         return dict.fromkeys(_TYPES) | {"error": str(e)}
 
@@ -243,7 +325,7 @@ def describe(data: bytes | None) -> dict:
 def media_columns(frame: DataFrame, data: str, into: str = "media") -> DataFrame:
     """Adds the struct of COLUMNS for a binary column under the name `into`, or the next free name."""
 
-    @F.arrow_udf("struct<" + ", ".join(x.replace(" ", ":", 1) for x in COLUMNS.split(", ")) + ">")
+    @F.arrow_udf("struct<" + ",".join(x.replace(" ", ":", 1) for x in COLUMNS.split(", ")) + ">")
     def run(values: pa.Array) -> pa.Array:
         rows = [describe(v.as_py()) for v in values]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in _TYPES.items()], names=list(_TYPES))

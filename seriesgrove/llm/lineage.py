@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,18 @@ from pyspark.sql import functions as F
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that spark.checkpoint.dir names; where that is unset, as in tests, to one of our own."""
+    """The rows, written once to the folder that spark.checkpoint.dir names.
+
+    Where that is unset, as in tests, a folder of our own serves a session of one process, and any other is an error: its
+    hosts would not see each other's files. With spark.cleaner.referenceTracking.cleanCheckpoints Spark removes the files
+    of rows that are no longer used.
+    """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint(eager=True)
 
 

@@ -209,8 +209,9 @@ def _fine(batches: Iterator[pa.RecordBatch], lower: bool) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fine_sketch(set_of(t.as_py(), lower)).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "fine"])
 
 
-#: Classes of a bucket that are compared with each other in one place; larger buckets are cut into blocks.
-BLOCK = 1024
+#: Classes of a bucket that are compared with each other in one place. Larger buckets are cut into blocks, each of which
+#: meets each other one; blocks grow with the root of the bucket, up to MOST, so that classes are copied less often.
+BLOCK, MOST = 1024, 32768
 
 
 @textops.tidy
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # What is not joined yet.
     labels = components(sure)
     told = near.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
-    apart = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("band", "key", "blocks")
+    apart = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), 16 * F.sqrt(F.count("*"))))).cast("int").alias("blocks")).where("x <> y").select("band", "key", "blocks")
     told = cut(told.join(apart, ["band", "key"]))
     some = told.select("id").distinct()
     fine = texts.join(some, "id").select("id", "text").mapInArrow(partial(_fine, lower=lower), "id bigint, fine binary")

@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesgrove.llm import textops
+from seriesgrove.llm.lineage import cut
 
 
 @dataclass(frozen=True)
 class Mix:
     """weights repeat over the sources in order; share is of all words; repeats bounds how often a source is taken.
 
-    max_sources bounds what the driver holds: one row per source. More sources stop the run; no row is dropped.
+    A block has block_words words, or fewer where that is more than one in 1024 of a source's mean share of the mix, so
+    that small sources are not rounded away. max_sources bounds what the driver holds: one row per source. More sources
+    stop the run; no row is dropped.
     """
 
     weights: tuple[int, ...] = (3, 1, 2)
@@ -137,8 +140,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
     kept = list(docs.columns if carry is None else carry)
     into = textops.fresh(kept, into)
     row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
-    sized = docs.select(row, F.col(source).alias("_name"), word_count(F.col(text)).alias("_size"), order_key(id_col, text, mix).alias("_order"))
-    found = docs.select(F.col(source).alias("s"), word_count(F.col(text)).alias("n")).groupBy("s").agg(F.sum("n").alias("n")).limit(mix.max_sources + 1).collect()
+    facts = [F.col(source).alias("_name"), word_count(F.col(text)).alias("_size"), order_key(id_col, text, mix).alias("_order")]
+    slim = text not in kept
+    light = cut(docs.select(row, *facts) if slim else docs.select(*facts))  # texts are read once, or once more to be carried
+    sized = light if slim else docs.select(row, *facts)
+    found = light.groupBy(F.col("_name").alias("s")).agg(F.sum("_size").alias("n")).limit(mix.max_sources + 1).collect()
     if len(found) > mix.max_sources:
         raise ValueError(f"more than {mix.max_sources} sources")
     found.sort(key=lambda r: (r.s is None, r.s or ""))
@@ -152,10 +158,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
     shape = T.StructType([T.StructField("_name", docs.schema[source].dataType), *longs("_source", "_source_size", "_shards", "_quota"), T.StructField("_target", T.DoubleType())])
     known = F.broadcast(spark.createDataFrame([(r.s, i, sizes[i], max(1, -(-sizes[i] // mix.shard_words)), quotas[i], float(goal[i])) for i, r in enumerate(found)], shape))  # bounded by max_sources
     deal = F.pmod(F.conv(F.substring("_order", 1, 12), 16, 10).cast("long"), F.col("_shards")).alias("_shard")
-    keyed = sized.join(known.drop("_quota"), F.col("_size").isNotNull() & sized["_name"].eqNullSafe(known["_name"])).select("_row", "_source", "_source_size", "_target", "_size", "_order", deal)
+    keyed = sized.withColumnRenamed("_name", "_own").join(known.drop("_quota"), F.col("_size").isNotNull() & F.col("_own").eqNullSafe(F.col("_name"))).select("_row", "_source", "_source_size", "_target", "_size", "_order", deal)
     # Shards, slices of shards, and their quotas.
-    light = docs.select(F.col(source).alias("_name"), word_count(F.col(text)).alias("_size"), order_key(id_col, text, mix).alias("_order"))
-    shards = light.join(known, light["_name"].eqNullSafe(known["_name"])).select("_source", "_quota", deal, "_size").groupBy("_source", "_shard").agg(F.sum("_size").alias("_words"), F.first("_quota").alias("_quota"))
+    shards = light.select("_name", "_size", "_order").withColumnRenamed("_name", "_own").join(known, F.col("_own").eqNullSafe(F.col("_name"))).select("_source", "_quota", deal, "_size").groupBy("_source", "_shard").agg(F.sum("_size").alias("_words"), F.first("_quota").alias("_quota"))
     shards = shards.withColumn("_blocks", F.ceil(F.col("_words") / block).cast("long")).withColumn("_slice", F.floor(F.col("_shard") / mix.slice_shards).cast("long"))
     slices = shards.groupBy("_source", "_slice").agg(F.sum("_words").alias("_words"), F.sum("_blocks").alias("_blocks"), F.first("_quota").alias("_quota"))
     slices = slices.groupBy("_source").applyInArrow(_apportion(["_source"], "_slice", mix), slices.schema)

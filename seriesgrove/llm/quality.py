@@ -304,7 +304,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     if counts.isEmpty():
         none = F.lit(None).cast("double")
         return base.select(F.col("id").alias(id_col), F.col("lang").alias(lang), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    p = probabilities(base.select("text").mapInArrow(_different, "code bigint").distinct(), kneser_ney(counts))
+    p = probabilities(cut(base.select("text").mapInArrow(_different, "code bigint").distinct()), kneser_ney(counts))
     scored = cut(score(base, p))
     labelled = scored.where("n_chars > 0").join(told, F.col("id") == F.col("_id")).where(~F.col("_good") | held).select("lang", "n_chars", "bits", "_good")
     own = cut(labelled)

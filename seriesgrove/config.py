@@ -186,9 +186,10 @@ class Config:
         return Config(**found)
 
 
-#: Accepted, without effect here.
+#: Accepted, without effect here: Spark reads, schedules and logs by itself, and predictions are made on CPUs.
 COMPATIBLE_ONLY = (
     "is_znormalized", "batch_load_size", "default_nbuffer", "on_disk", "filter_train_is_gpu", "filter_infer_is_gpu", "device_id", "navigator_is_gpu", "filter_collect_mthread", "filter_collect_nthread",
-    "filter_train_mthread", "filter_train_nthread", "filter_valid_ratio", "filter_conformal_gamma", "filter_candidate_settings_filepath", "filter_query_noise_level", "dropout_p", "clip_grad_norm_type",
-    "to_profile_search", "log_filepath", "log_filepath_qyl",
+    "filter_train_mthread", "filter_train_nthread", "filter_valid_ratio", "filter_conformal_gamma", "filter_query_noise_level", "dropout_p", "clip_grad_norm_type", "navigator_train_val_split",
+    "to_profile_search", "to_profile_search_exhausting", "to_profile_filters", "log_filepath", "log_filepath_qyl", "index_load_node_info_folderpath", "index_load_filters_folderpath", "index_load_data_folderpath",
+    "allocator_cpu_trial_iterations", "filter_trial_iterations", "filter_conformal_smoothen_method",
 )

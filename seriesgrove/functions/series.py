@@ -14,6 +14,11 @@ def doubles(values) -> Column:
     return F.transform(values, lambda x: x.cast("double"))
 
 
+def bound(value, f) -> Column:
+    """f of a value that is worked out once, however often f names it: Spark would repeat a plain expression at every use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(values) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -24,18 +29,29 @@ def sq_euclidean(a, b) -> Column:
 
 
 def mean(values) -> Column:
-    return total(values) / F.size(values)
+    return bound(values, lambda v: total(v) / F.size(v))
+
+
+def _centred(v, m) -> Column:
+    """The sum of squared differences to a mean."""
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m))
+
+
+def moments(values) -> Column:
+    """A struct of v (the values), m (their mean) and s (the population standard deviation), in two passes."""
+    named = lambda **c: F.struct(*(x.alias(k) for k, x in c.items()))
+    with_mean = bound(values, lambda v: named(v=v, m=total(v) / F.size(v)))
+    return bound(with_mean, lambda r: named(v=r["v"], m=r["m"], s=F.sqrt(_centred(r["v"], r["m"]) / F.size(r["v"]))))
 
 
 def std(values) -> Column:
     """The population standard deviation."""
-    return F.sqrt(total(F.transform(values, lambda x: (x.cast("double") - mean(values)) * (x.cast("double") - mean(values)))) / F.size(values))
+    return moments(values)["s"]
 
 
 def znormalize(values, least: float = 1e-5) -> Column:
     """Values less their mean, over their deviation; null for a constant series."""
-    m, s = mean(values), std(values)
-    return F.when(s > least, F.transform(values, lambda x: (x.cast("double") - m) / s))
+    return bound(moments(values), lambda r: F.when(r["s"] > least, F.transform(r["v"], lambda x: (x.cast("double") - r["m"]) / r["s"])))
 
 
 def segments(length: int, n: int) -> list[tuple[int, int]]:
@@ -46,8 +62,11 @@ def segments(length: int, n: int) -> list[tuple[int, int]]:
 
 def segment_stats(values, parts: list[tuple[int, int]]) -> Column:
     """An array of (start, len, mean, std), one for each segment."""
-    of = lambda a, n: F.slice(values, a + 1, n)
-    return F.array(*(F.struct(F.lit(a).alias("start"), F.lit(n).alias("len"), mean(of(a, n)).alias("mean"), std(of(a, n)).alias("std")) for a, n in parts))
+
+    def one(v: Column, a: int, n: int) -> Column:
+        return bound(moments(F.slice(v, a + 1, n)), lambda r: F.struct(F.lit(a).alias("start"), F.lit(n).alias("len"), r["m"].alias("mean"), r["s"].alias("std")))
+
+    return bound(values, lambda v: F.array(*(one(v, a, n) for a, n in parts)))
 
 
 def almost_equal(a, b, eps: float = 1e-5) -> Column:
@@ -79,6 +98,17 @@ def interval(prediction, alpha) -> Column:
     return F.struct((prediction - alpha).alias("lo"), (prediction + alpha).alias("hi"))
 
 
+def interval_text(prediction, alpha, places: int = 6) -> Column:
+    """The range as text: [lo, hi]."""
+    return F.format_string(f"[%.{places}f, %.{places}f]", prediction - alpha, prediction + alpha)
+
+
+def sq_euclidean_within(a, b, limit) -> Column:
+    """The squared Euclidean distance, or null as soon as a partial sum exceeds the limit."""
+    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, d: F.when(s <= limit, s + d * d), lambda s: F.when(s <= limit, s))
+
+
 def calibrated(prediction, alpha, square: bool = False) -> Column:
     """The prediction lowered by alpha, not below 0, squared again if roots were learned."""
     low = F.greatest(F.lit(0.0), prediction - alpha)
@@ -89,3 +119,16 @@ def polynomial(coefficients, recall, coverage) -> Column:
     """c0 + c1 r + c2 c + c3 r c + c4 r^2 + c5 c^2, not below 0."""
     c = lambda i: F.element_at(coefficients, i + 1)
     return F.greatest(F.lit(0.0), c(0) + c(1) * recall + c(2) * coverage + c(3) * recall * coverage + c(4) * recall * recall + c(5) * coverage * coverage)
+
+
+def bivariate(kind, coefficients, centres, recall, coverage) -> Column:
+    """The value of a bivariate fit, not below 0.
+
+    Coefficients are those of 1, r, c, r^2, c^2 for linear and quadratic fits; for kernel fits a constant, then one for
+    each centre (r, c, width).
+    """
+    c = lambda i: F.element_at(coefficients, i + 1)
+    surface = c(0) + c(1) * recall + c(2) * coverage + c(3) * recall * recall + c(4) * coverage * coverage
+    near = F.transform(centres, lambda p: F.exp(-((recall - p["r"]) * (recall - p["r"]) + (coverage - p["c"]) * (coverage - p["c"])) / (2 * p["width"] * p["width"])))
+    kernels = c(0) + F.aggregate(F.zip_with(F.slice(coefficients, 2, F.size(coefficients)), near, lambda w, k: w * k), F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(F.lit(0.0), F.when(kind == "kernel", kernels).otherwise(surface))

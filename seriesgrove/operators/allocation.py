@@ -72,3 +72,16 @@ def measure_costs(length: int, model, weights, rounds: int = 200, seed: int = 1)
 def trial_pruning(trials: DataFrame) -> DataFrame:
     """model, model_pruned: the mean of each model over the sampled leaves."""
     return trials.groupBy("model").agg(F.avg("model_pruned").alias("model_pruned"))
+
+
+def assign(leaves: DataFrame, budget_mb: float, by_gain: bool = True, least: float | None = None) -> DataFrame:
+    """allocate() by gain; by size where that is asked for, or where no leaf has a gain above 0. leaves: leaf_id, size, gain, memory_mb."""
+    if not by_gain or (leaves.agg(F.max("gain")).first()[0] or 0) <= 0:
+        return allocate(leaves, budget_mb, "size", least)
+    return allocate(leaves, budget_mb, "gain", 0.0)
+
+
+def reassign(leaves: DataFrame, filters: DataFrame, budget_mb: float, by_gain: bool = True) -> DataFrame:
+    """assign() on a loaded index: only leaves whose filter has weights can be chosen, at those filters' memory."""
+    trained = filters.where("weights IS NOT NULL").select("leaf_id", F.col("memory_mb").alias("_mb"))
+    return assign(leaves.drop("memory_mb").join(trained, "leaf_id").withColumnRenamed("_mb", "memory_mb"), budget_mb, by_gain)

@@ -63,20 +63,30 @@ def alpha_at(alphas: DataFrame, by: list[str], confidence: float = 0.95) -> Data
     return alphas.withColumn("_n", n).where(F.col("error_i") == F.least(F.floor(F.col("_n") * confidence), F.col("_n") - 1)).select(*by, "alpha")
 
 
+def _told(batches: DataFrame, knn: DataFrame, examples: DataFrame, alphas: DataFrame) -> DataFrame:
+    """batch_id, query_id, leaf_id, error_i, n, visited: of each place, whether the leaves with a query's nearest series are visited."""
+    places = alphas.select("error_i").distinct()
+    wanted = batches.join(knn, "query_id", "left").join(examples.select("query_id", "leaf_id", "pred", "bsf"), ["query_id", "leaf_id"], "left")
+    told = wanted.join(places).join(alphas, ["leaf_id", "batch_id", "error_i"] if "batch_id" in alphas.columns else ["leaf_id", "error_i"], "left")
+    return told.withColumn("visited", F.col("alpha").isNull() | F.col("bsf").isNull() | (F.col("pred") - F.col("alpha") <= F.col("bsf")))
+
+
 def batch_recall(batches: DataFrame, knn: DataFrame, examples: DataFrame, alphas: DataFrame, k: int) -> DataFrame:
     """batch_id, error_i, recall: how many of a batch's k * queries nearest series lie in leaves that are visited at that place.
 
     A leaf is visited if pred - alpha <= bsf, if nothing bounds it yet, or if it has no alpha there.
     """
-    places = alphas.select("error_i").distinct()
-    wanted = batches.join(knn, "query_id", "left").join(examples.select("query_id", "leaf_id", "pred", "bsf"), ["query_id", "leaf_id"], "left")
-    told = wanted.join(places).join(alphas, ["leaf_id", "batch_id", "error_i"], "left") if "batch_id" in alphas.columns else wanted.join(places).join(alphas, ["leaf_id", "error_i"], "left")
-    visited = F.col("alpha").isNull() | F.col("bsf").isNull() | (F.col("pred") - F.col("alpha") <= F.col("bsf"))
-    hits = told.groupBy("batch_id", "error_i").agg(F.sum(F.when(visited, F.coalesce("n", F.lit(0))).otherwise(0)).alias("hits"))
+    hits = _told(batches, knn, examples, alphas).groupBy("batch_id", "error_i").agg(F.sum(F.when(F.col("visited"), F.coalesce("n", F.lit(0))).otherwise(0)).alias("hits"))
     sizes = batches.groupBy("batch_id").agg(F.countDistinct("query_id").alias("queries"))
     return hits.join(sizes, "batch_id").select("batch_id", "error_i", (F.col("hits") / (F.lit(float(k)) * F.col("queries"))).alias("recall"))
 
 
+def query_recall(batches: DataFrame, knn: DataFrame, examples: DataFrame, alphas: DataFrame, k: int) -> DataFrame:
+    """batch_id, query_id, error_i, recall: the same for each query of a batch."""
+    told = _told(batches, knn, examples, alphas)
+    return told.groupBy("batch_id", "query_id", "error_i").agg((F.sum(F.when(F.col("visited"), F.coalesce("n", F.lit(0))).otherwise(0)) / F.lit(float(k))).alias("recall"))
+
+
 def recall_coverage(recalls: DataFrame) -> DataFrame:
     """Adds coverage: the share of batches with this recall or more at the same place."""
     return recalls.withColumn("coverage", F.cume_dist().over(Window.partitionBy("error_i").orderBy(F.desc("recall"))))
@@ -119,7 +129,7 @@ def rising(recalls: DataFrame, by: list[str], gap: float = GAP) -> DataFrame:
 
 
 def steffen(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Adds the slope at each point of Steffen's monotone spline; at the ends that of the one-sided parabola, limited."""
+    """Adds the slope at each point of Steffen's monotone spline; at the ends that of the line to the next point."""
     w = Window.partitionBy(*by).orderBy(x)
     h1, h0 = F.lead(x).over(w) - F.col(x), F.col(x) - F.lag(x).over(w)
     s1, s0 = (F.lead(y).over(w) - F.col(y)) / h1, (F.col(y) - F.lag(y).over(w)) / h0
@@ -162,19 +172,74 @@ def statistic(residual: np.ndarray) -> float:
     return float((np.diff(residual) ** 2).sum()) / total if total else 2.0
 
 
-def fit_bivariate(points: DataFrame) -> DataFrame:
-    """leaf_id, kind, coefficients (1, r, c, r^2, c^2): linear for fewer than ten points or residuals without a trend (1 <= DW <= 3), else quadratic without a cross term."""
+def relevance(x: np.ndarray, y: np.ndarray, width: float, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Relevance vector regression with Gaussian kernels: the constant and the weights, and the places of the kept centres in x."""
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    phi = np.hstack([np.ones((len(x), 1)), np.exp(-d2 / (2 * width * width))])
+    kept, precision, noise = np.arange(phi.shape[1]), np.ones(phi.shape[1]), 100.0 / max(float(y.var()), 1e-12)
+    mean = np.zeros(len(kept))
+    for _ in range(rounds):
+        p = phi[:, kept]
+        spread = np.linalg.pinv(np.diag(precision) + noise * p.T @ p)
+        mean = noise * spread @ p.T @ y
+        sure = np.clip(1 - precision * np.diag(spread), 1e-12, 1)
+        precision = sure / np.maximum(mean**2, 1e-24)
+        noise = max(len(y) - sure.sum(), 1e-6) / max(float(((y - p @ mean) ** 2).sum()), 1e-12)
+        alive = precision < 1e9
+        if not alive[0] and kept[0] == 0:
+            alive[0] = True  # the constant stays
+        kept, precision, mean = kept[alive], precision[alive], mean[alive]
+    weights = np.zeros(phi.shape[1])
+    weights[kept] = mean
+    centres = kept[kept > 0] - 1
+    return np.append(weights[0], weights[centres + 1]), centres
+
+
+BIVARIATE = "leaf_id bigint, kind string, coefficients array<double>, centres array<struct<r:double,c:double,width:double>>"
+
+
+def fit_bivariate(points: DataFrame, kernel: bool = False, width: float = 0.25) -> DataFrame:
+    """BIVARIATE: linear for fewer than ten points or residuals without a trend (1 <= DW <= 3); else quadratic without a cross term, or a sum of kernels."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["recall", "coverage", "alpha"])
         r, c, y = (rows[n].to_numpy() for n in ("recall", "coverage", "alpha"))
         x = np.stack([np.ones_like(r), r, c, r * r, c * c], axis=1)
         line, *_ = np.linalg.lstsq(x[:, :3], y, rcond=None)
-        straight = len(rows) < 10 or 1 <= statistic(y - x[:, :3] @ line) <= 3
-        found = [*line.tolist(), 0.0, 0.0] if straight else np.linalg.lstsq(x, y, rcond=None)[0].tolist()
-        return pd.DataFrame({"leaf_id": [rows["leaf_id"].iloc[0]], "kind": ["linear" if straight else "quadratic"], "coefficients": [found]})
+        kind, found, centres = "linear", [*line.tolist(), 0.0, 0.0], []
+        if len(rows) >= 10 and not 1 <= statistic(y - x[:, :3] @ line) <= 3:
+            if kernel:
+                weights, at = relevance(x[:, 1:3], y, width)
+                kind, found, centres = "kernel", weights.tolist(), [{"r": float(r[i]), "c": float(c[i]), "width": width} for i in at]
+            else:
+                kind, found = "quadratic", np.linalg.lstsq(x, y, rcond=None)[0].tolist()
+        return pd.DataFrame({"leaf_id": [rows["leaf_id"].iloc[0]], "kind": [kind], "coefficients": [found], "centres": [centres]})
+
+    return points.groupBy("leaf_id").applyInPandas(fit, BIVARIATE)
+
 
-    return points.groupBy("leaf_id").applyInPandas(fit, "leaf_id bigint, kind string, coefficients array<double>")
+def bivariate_alphas(fits: DataFrame, recall: float, coverage: float) -> DataFrame:
+    """leaf_id, alpha of BIVARIATE fits at a recall and a coverage."""
+    return fits.select("leaf_id", fn.bivariate(F.col("kind"), F.col("coefficients"), F.col("centres"), F.lit(recall), F.lit(coverage)).alias("alpha"))
+
+
+def alpha_by_recall_spline(recalls: DataFrame, alphas: DataFrame, target: float, core: str = "steffen") -> DataFrame:
+    """leaf_id, alpha of one calibration set by a spline from recall to alpha: 0 if the least recall exceeds the target, the largest alpha if none reaches it.
+
+    recalls: error_i, recall; alphas: leaf_id, error_i, alpha. Recalls are made strictly rising first.
+    """
+    told = recalls.withColumn("_one", F.lit(0))
+    points = alphas.join(rising(told, ["_one"]).select("error_i", "recall"), "error_i").select("leaf_id", "recall", "alpha")
+    sloped = steffen(points, ["leaf_id"], "recall", "alpha") if core == "steffen" else cubic(points, "recall", "alpha")
+    ends = points.groupBy("leaf_id").agg(F.min("recall").alias("low"), F.max("recall").alias("high"), F.max("alpha").alias("largest"))
+    value = hermite(sloped, ["leaf_id"], "recall", "alpha", target)
+    out = ends.join(value, "leaf_id", "left")
+    return out.select("leaf_id", F.when(F.col("low") > target, 0.0).when(F.col("value").isNull(), F.col("largest")).otherwise(F.greatest(F.lit(0.0), F.col("value"))).alias("alpha"))
+
+
+def cleared(alphas: DataFrame) -> DataFrame:
+    """No alphas, of the same columns: what a calibration that starts anew begins with."""
+    return alphas.limit(0)
 
 
 def alpha_for_recall(recalls: DataFrame, alphas: DataFrame, target: float) -> DataFrame:

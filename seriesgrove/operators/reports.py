@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,12 @@ def recall_by_query(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return truth.select("query_id").distinct().join(n, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.lit(float(k))).alias("recall"))
 
 
-def recall_by_batch(recalls: DataFrame, per_batch: int) -> DataFrame:
-    """batch_id, recall, queries: means over runs of per_batch query ids."""
-    return recalls.groupBy(F.floor(F.col("query_id") / per_batch).cast("long").alias("batch_id")).agg(F.avg("recall").alias("recall"), F.count("*").alias("queries"))
+def recall_by_batch(recalls: DataFrame, batches: int = 100) -> DataFrame:
+    """batch_id, recall, queries: means over runs of ceil(queries / batches) queries in order of id."""
+    n = recalls.agg(F.ceil(F.count("*") / batches).alias("_per"))
+    w = Window.orderBy("query_id")
+    placed = recalls.withColumn("_p", F.row_number().over(w) - 1).crossJoin(n)  # one row
+    return placed.groupBy(F.floor(F.col("_p") / F.col("_per")).cast("long").alias("batch_id")).agg(F.avg("recall").alias("recall"), F.count("*").alias("queries"))
 
 
 def achieved_coverage(batches: DataFrame, target: float) -> DataFrame:
@@ -42,12 +45,25 @@ def leaf_statistics(visits: DataFrame) -> DataFrame:
     return out.withColumn("pruning_ratio", F.col("pruned_leaves") / (F.col("visited_leaves") + F.col("pruned_leaves")))
 
 
-def wide(rows: DataFrame, by: list[str], across: str, value: str, columns: list[int], prefix: str) -> DataFrame:
-    """A row for each `by`, a column for each listed value of `across`."""
+def wide(rows: DataFrame, by: list[str], across: str, value: str, columns: list[int] | None = None, prefix: str = "") -> DataFrame:
+    """A row for each `by`, a column for each value of `across`: all that occur, in order, unless they are listed."""
+    if columns is None:
+        columns = [r[0] for r in rows.select(across).distinct().orderBy(across).collect()]  # as many as the report has columns
     out = rows.groupBy(*by).pivot(across, columns).agg(F.first(value))
     return out.select(*by, *(F.col(str(c)).alias(f"{prefix}{c}") for c in columns))
 
 
+def along(rows: DataFrame, by: list[str], across: str, *values: str) -> DataFrame:
+    """The same with a fixed schema: a row for each `by`, and of each value an array in order of `across`, all of them."""
+    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(across, *values))).alias("_all"))
+    return held.select(*by, *(F.col("_all")[v].alias(f"{v}s") for v in values))
+
+
+def filter_summary(recalls: DataFrame, alphas: DataFrame) -> DataFrame:
+    """leaf_id, batch_id, error_i, recall, coverage, alpha: what the summaries of a filter show, wide by place or by batch. recalls: with coverage."""
+    return alphas.join(recalls, ["batch_id", "error_i"]).select("leaf_id", "batch_id", "error_i", "recall", "coverage", "alpha")
+
+
 def pruning_by_batch(told: DataFrame) -> DataFrame:
     """Of each batch and place: the share of leaves with a nearest series that were pruned, and of leaves without a filter; told: pruned, n, has_filter."""
     wrong = F.col("pruned") & (F.col("n") > 0)

@@ -1,9 +1,18 @@
-"""Nearest-neighbour search: brute force, resident leaf, exact over an index, budgets, filters.
+"""Nearest-neighbour search: brute force, resident leaf, exact over an index, budgets, filters, learned order.
 
 All queries of a block are answered in one pass over the members: each task
 keeps the best k of what it reads for each query, and only those are shuffled.
 A block has at most `BLOCK` queries, so what is sent to the tasks does not grow
 with the data; more queries are answered block by block.
+
+Over an index, the first pass scans each query's resident leaf. Its k-th distance
+is the best so far, one number a query, with which the second pass decides in the
+tasks, leaf by leaf, which queries still want it. Only budgets and a learned
+order need the places of all leaves; these are worked out in tasks, too, by a
+few queries at a time, and only the leaves that are to be scanned come back.
+
+Series that are null or hold a null have no distance to anything: brute_force()
+and build() leave them out, and search refuses queries like that.
 """
 
 from __future__ import annotations
@@ -41,19 +50,11 @@ def distances(queries: DataFrame, series: DataFrame, exclude_self: bool = False)
     return pairs.select("query_id", "series_id", fn.sq_euclidean("_q", "values").alias("d2"))
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and exact d2 of the k nearest of one query, ties by id; a product of matrices finds the candidates."""
-    d = ((x - q) ** 2).sum(axis=1)
-    if len(d) > k:
-        limit = np.partition(d, k - 1)[k - 1]
-        at = np.flatnonzero(d <= limit)
-    else:
-        at = np.arange(len(d))
-    at = at[np.lexsort((ids[at], d[at]))][:k]
-    return at, d[at]
+#: Which queries (by place) want a leaf, from a leaf: None for all.
+Wanted = Callable[[int], np.ndarray]
 
 
-def _scan(queries: np.ndarray, query_ids: np.ndarray, k: int, exclude_self: bool, wanted: dict[int, np.ndarray] | None, chunk: int = 2048):
+def _scan(queries: np.ndarray, query_ids: np.ndarray, k: int, exclude_self: bool, wanted: Wanted | None, chunk: int = 2048):
     """For batches (series_id, leaf_id, values): each query's best k of a task. wanted: the queries of each leaf, or all."""
 
     def merge(best, q, ids, leaves, d):
@@ -64,12 +65,22 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, k: int, exclude_self: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
+        asked: dict[int, np.ndarray] = {}
         norms = (queries * queries).sum(axis=1)
         for batch in batches:
             all_ids, all_leaves, all_x = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), tree.matrix(batch.column(2))
-            groups = [(None, np.arange(len(all_ids)))] if wanted is None else [(leaf, np.flatnonzero(all_leaves == leaf)) for leaf in np.unique(all_leaves).tolist() if leaf in wanted]
+            if wanted is None:
+                groups = [(None, np.arange(len(all_ids)))]
+            else:
+                order = np.argsort(all_leaves, kind="stable")
+                leaves, begins = np.unique(all_leaves[order], return_index=True)
+                groups = list(zip(leaves.tolist(), np.split(order, begins[1:]), strict=True))
             for leaf, rows in groups:
-                own = np.arange(len(queries)) if leaf is None else wanted[leaf]
+                if leaf is not None and leaf not in asked:
+                    asked[leaf] = wanted(leaf)
+                own = np.arange(len(queries)) if leaf is None else asked[leaf]
+                if not len(own):
+                    continue
                 for lo in range(0, len(rows), chunk):
                     part = rows[lo : lo + chunk]
                     ids, leaves, x = all_ids[part], all_leaves[part], all_x[part]
@@ -91,13 +102,16 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, k: int, exclude_self: bool
     return run
 
 
-def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(queries: DataFrame, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and values of the queries, at most `size` at once, in order of a hash; where there are more, each block reads its own share."""
+    size = size or BLOCK
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), "values")
     n = rows.count()
-    parts = -(-n // (size // 2)) if n > size else 1
+    parts = -(-n // max(1, size // 2)) if n > size else 1
     for i in range(parts):
         table = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).toArrow()
+        if not table.num_rows:
+            continue
         order = np.argsort(table["query_id"].to_numpy())
         ids, x = table["query_id"].to_numpy()[order], tree.matrix(table["values"])[order]
         for lo in range(0, len(ids), size):
@@ -111,94 +125,204 @@ def _all(made: list[DataFrame], spark, schema: str = ANSWERS) -> DataFrame:
     return out
 
 
-def scan(members: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, exclude_self: bool = False, wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
+def scan(members: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, exclude_self: bool = False, wanted: Wanted | None = None, leaves: list[int] | None = None) -> DataFrame:
+    """The best k of each task; only the listed leaves are read, where files or cached rows are ordered by leaf."""
     leaf = F.col("leaf_id") if "leaf_id" in members.columns else F.lit(0)
-    rows = members
-    if wanted is not None and len(wanted) <= 1000:
-        rows = rows.where(leaf.isin(list(wanted)))  # leaves that no query wants are not read, where files are partitioned by leaf
+    rows = members if leaves is None else members.where(leaf.isin(leaves))
     return rows.select(F.col("series_id").cast("long"), leaf.cast("long").alias("leaf_id"), "values").mapInArrow(_scan(x, ids, k, exclude_self, wanted), ANSWERS)
 
 
 def brute_force(queries: DataFrame, series: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """query_id, series_id, leaf_id, d2, rank: true nearest neighbours, without any bound."""
+    series = tree.regular(series)
     made = [scan(series, ids, x, k, exclude_self) for ids, x in blocks(queries)]
     return top_k(_all(made, series.sparkSession), k)
 
 
 @dataclass
 class Index:
-    """A fitted tree, its members (series_id, values, leaf_id) and the leaves' envelopes."""
+    """A fitted tree, its members (series_id, values, leaf_id) and, by leaf with members, their number and envelopes.
+
+    What grows with the data is in members alone: there are at most max_leaves leaves. Series may carry a summary of
+    their own in `sketch`, which then routes and bounds them in place of the values.
+    """
 
     nodes: list[tree.Node]
     members: DataFrame
     envelopes: dict[int, np.ndarray]
+    sizes: dict[int, int]
+    sketched: bool = False
 
     @property
     def leaves(self) -> list[int]:
         return sorted(self.envelopes)
 
+    def close(self) -> None:
+        """Gives back what is held of the members."""
+        self.members.unpersist()
+
+
+def build(series: DataFrame, settings: tree.TreeSettings = tree.TreeSettings(), nodes: list[tree.Node] | None = None) -> Index:
+    """Fits a tree, unless its nodes are given, routes every row and takes the envelopes of all rows.
+
+    Members are held in the order of their leaves until close(), so that searches read the leaves that they want and
+    nothing is routed twice. Save the index and load it for members that outlive the session.
+    """
+    sketched = "sketch" in series.columns
+    by = "sketch" if sketched else "values"
+    series = tree.regular(series, by).select("series_id", "values", *(["sketch"] if sketched else []))
+    nodes = tree.fit_tree(series, settings, values=by) if nodes is None else nodes
+    members = tree.assign(tree.regular(series), nodes, by)
+    n = max(1, min(sum(node.is_leaf for node in nodes), int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    members = members.repartitionByRange(n, "leaf_id", "series_id").sortWithinPartitions("leaf_id").persist()
+    envelopes, sizes = tree.leaf_envelopes(members, nodes, by)
+    return Index(nodes, members, envelopes, sizes, sketched)
 
-def build(series: DataFrame, settings: tree.TreeSettings = tree.TreeSettings()) -> Index:
-    """Fits a tree, routes every row and takes the envelopes of all rows."""
-    nodes = tree.fit_tree(series, settings)
-    members = tree.assign(series.select("series_id", "values"), nodes)
-    return Index(nodes, members, tree.leaf_envelopes(members, nodes))
 
+@dataclass(frozen=True)
+class Limits:
+    """Where a search stops: after so many scanned leaves, or before the leaf that would make it more than so many series. The first leaf is always scanned."""
+
+    leaves: int | None = None
+    series: int | None = None
+
+    @property
+    def any(self) -> bool:
+        return self.leaves is not None or self.series is not None
+
+
+#: Queries whose bounds to all leaves are held at once by a task.
+CHUNK = 128
+#: (query, leaf) pairs with a budget or a learned order that may come back from the tasks for a block.
+PAIRS = 1 << 22
+VISITS = "query_id bigint, leaf_id bigint, lb2 double, visit bigint, state string"
+STATES = np.array(["resident", "scanned", "bound", "filter", "budget", "skipped"])
+RESIDENT, SCANNED, BOUND, FILTER, BUDGET, SKIPPED = range(6)
+
+Prune = Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+Order = Callable[[np.ndarray, list[int], np.ndarray], np.ndarray]
+
+
+def _states(x: np.ndarray, s: np.ndarray, home: np.ndarray, bsf: np.ndarray, index: tuple, prune: Prune | None, order: Order | None, limits: Limits, approximate: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lb2, place (from 0) and state of each query (a row) and leaf (a column): x are values, s what the bounds are taken of."""
+    leaves, envelopes, sizes = index
+    lb = np.stack([tree.bound(s, envelopes[leaf]) for leaf in leaves], axis=1) if leaves else np.zeros((len(x), 0))
+    state = np.where(lb < bsf[:, None], SCANNED, BOUND)
+    if prune is not None:
+        for j, leaf in enumerate(leaves):
+            rows = np.flatnonzero((state[:, j] == SCANNED) & np.isfinite(bsf))
+            if len(rows):
+                state[rows[prune(x[rows], leaf, lb[rows, j], bsf[rows])], j] = FILTER
+    at = np.array(leaves, np.int64)
+    own = at[None, :] == home[:, None]
+    state[own] = RESIDENT
+    if approximate:
+        state[~own] = SKIPPED
+    score = lb if order is None else -order(x, leaves, lb)
+    ranked = np.lexsort((np.broadcast_to(at, lb.shape), score, ~own), axis=1) if lb.size else np.zeros(lb.shape, int)
+    if limits.any and lb.size:
+        seen = np.take_along_axis(state <= SCANNED, ranked, axis=1)
+        stop = np.zeros(seen.shape, bool)
+        if limits.leaves is not None:
+            stop |= np.cumsum(seen, axis=1) > limits.leaves
+        if limits.series is not None:
+            stop |= np.cumsum(np.where(seen, np.array([sizes[leaf] for leaf in leaves])[ranked], 0), axis=1) > limits.series
+        stop &= np.cumsum(seen, axis=1) > 1
+        back = np.empty_like(stop)
+        np.put_along_axis(back, ranked, stop, axis=1)
+        state[back & (state <= SCANNED)] = BUDGET
+    return lb, np.argsort(ranked, axis=1), state
+
+
+def _visits(index: Index, ids: np.ndarray, x: np.ndarray, s: np.ndarray, home: np.ndarray, bsf: np.ndarray, prune: Prune | None, order: Order | None, limits: Limits, approximate: bool) -> DataFrame:
+    """VISITS of a block of queries, worked out by tasks, CHUNK queries at a time."""
+    spark = index.members.sparkSession
+    sent = spark.sparkContext.broadcast((ids, x, s, home, bsf, (index.leaves, index.envelopes, index.sizes)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, s, home, bsf, held = sent.value
+        leaves = np.array(held[0], np.int64)
+        for batch in batches:
+            for lo in batch.column(0).to_pylist():
+                at = slice(lo, lo + CHUNK)
+                lb, place, state = _states(x[at], s[at], home[at], bsf[at], held, prune, order, limits, approximate)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], len(leaves))), pa.array(np.tile(leaves, len(lb))), pa.array(lb.ravel()), pa.array(place.ravel() + 1), pa.array(STATES[state.ravel()].tolist(), pa.string())], names=["query_id", "leaf_id", "lb2", "visit", "state"])
 
-def bounds(index: Index, x: np.ndarray) -> np.ndarray:
-    """lb2 of each query to each leaf, in the order of index.leaves."""
-    return np.stack([tree.bound(x, index.envelopes[leaf]) for leaf in index.leaves], axis=1) if index.leaves else np.zeros((len(x), 0))
+    n = -(-len(ids) // CHUNK)
+    return spark.range(0, n * CHUNK, CHUNK, n).mapInArrow(run, VISITS)
 
 
-def exact(queries: DataFrame, index: Index, k: int, exclude_self: bool = False, prune: Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray] | None = None, max_leaves: int | None = None, max_series: int | None = None, approximate: bool = False) -> tuple[DataFrame, DataFrame]:
+def exact(
+    queries: DataFrame, index: Index, k: int, exclude_self: bool = False, prune: Prune | None = None, max_leaves: int | None = None, max_series: int | None = None, approximate: bool = False, order: Order | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Answers (as brute_force) and visits (query_id, leaf_id, lb2, visit, state) over an index.
 
     Phase 1 scans each query's resident leaf; its k-th distance is the best so far. Phase 2 scans the other leaves whose
     bound is below it, unless `prune` (a learned filter: queries, leaf, bounds, best so far -> mask of pairs to skip)
-    skips them or a budget of leaves or series is used up. Without k answers nothing is pruned.
+    skips them or a budget of leaves or series is used up. Without k answers nothing is pruned. Leaves come in order of
+    their bounds, or of falling `order` (queries, leaves, bounds -> scores), after the resident one. With `approximate`
+    only that is scanned. Visits are worked out when they are read.
     """
     spark = index.members.sparkSession
+    limits = Limits(max_leaves, max_series)
     found, visits = [], []
-    leaves = np.array(index.leaves, np.int64)
-    sizes = dict(index.members.groupBy("leaf_id").count().collect()) if max_series is not None else {}
-    for ids, x in blocks(queries):
-        home = tree.route(index.nodes, x)
-        wanted = {int(leaf): np.flatnonzero(home == leaf) for leaf in np.unique(home)}
-        first = top_k(scan(index.members, ids, x, k, exclude_self, wanted), k)
-        lb = bounds(index, x)
+    size = BLOCK if not limits.any else max(1, min(BLOCK, PAIRS // max(1, min(len(index.leaves), max_leaves or len(index.leaves)))))
+    for ids, x, s in _blocks(queries, size, index.sketched):
+        home = tree.route(index.nodes, s)
+        first = top_k(scan(index.members, ids, x, k, exclude_self, _resident(home), np.unique(home).tolist()), k)
+        rows = first.select("query_id", "series_id", "leaf_id", "d2").toArrow()  # at most k rows a query of the block
         bsf = np.full(len(ids), np.inf)
-        rows = first.persist()  # read for the best so far, and again among the answers; at most k rows a query
-        for r in kth(rows, k).collect():  # one row a query of the block
-            if r.bsf is not None:
-                bsf[np.searchsorted(ids, r.query_id)] = r.bsf
-        state = np.full(lb.shape, "bound", object)
-        keep = lb < bsf[:, None]
-        state[keep] = "scanned"
-        if prune is not None:
-            for j, leaf in enumerate(leaves.tolist()):
-                skip = keep[:, j] & np.isfinite(bsf) & prune(x, leaf, lb[:, j], bsf)
-                state[skip, j] = "filter"
-        state[leaves[None, :] == home[:, None]] = "resident"
+        at, d2 = np.searchsorted(ids, rows["query_id"].to_numpy()), rows["d2"].to_numpy()
+        counts = np.bincount(at, minlength=len(ids))
+        most = np.full(len(ids), -np.inf)
+        np.maximum.at(most, at, d2)
+        bsf[counts >= k] = most[counts >= k]
+        found.append(spark.createDataFrame(rows, ANSWERS))
+        told = _visits(index, ids, x, s, home, bsf, prune, order, limits, approximate)
+        visits.append(told)
         if approximate:
-            state[state != "resident"] = "skipped"
-        order = np.lexsort((np.broadcast_to(leaves, lb.shape), lb, state != "resident"), axis=1) if lb.size else np.zeros(lb.shape, int)
-        visit = np.argsort(order, axis=1)
-        if max_leaves is not None or max_series is not None:
-            for i in range(len(ids)):
-                n = rows_seen = 0
-                for j in order[i]:
-                    if state[i, j] in ("scanned", "resident"):
-                        n, rows_seen = n + 1, rows_seen + sizes.get(int(leaves[j]), 0)
-                        if max_leaves is not None and n > max_leaves or max_series is not None and rows_seen > max_series and n > 1:
-                            state[i, j] = "budget"
-        wanted = {leaf: np.flatnonzero(state[:, j] == "scanned") for j, leaf in enumerate(leaves.tolist())}
-        wanted = {leaf: q for leaf, q in wanted.items() if len(q)}
-        found.append(rows.select("query_id", "series_id", "leaf_id", "d2"))
-        if wanted:
-            found.append(scan(index.members, ids, x, k, exclude_self, wanted))
-        i, j = np.indices(lb.shape).reshape(2, -1)
-        visits.append(spark.createDataFrame(pa.table({"query_id": pa.array(ids[i]), "leaf_id": pa.array(leaves[j]), "lb2": pa.array(lb[i, j]), "visit": pa.array((visit[i, j] + 1).astype(np.int64)), "state": pa.array(state[i, j].tolist(), pa.string())})))
-    return top_k(_all(found, spark), k), _all(visits, spark, "query_id bigint, leaf_id bigint, lb2 double, visit bigint, state string")
+            continue
+        if limits.any:  # which leaves are scanned depends on the others of a query
+            pairs = told.where("state = 'scanned'").select("query_id", "leaf_id").toArrow()
+            place, leaf = np.searchsorted(ids, pairs["query_id"].to_numpy()), pairs["leaf_id"].to_numpy()
+            by = {at: place[leaf == at] for at in np.unique(leaf).tolist()}
+            if by:
+                found.append(scan(index.members, ids, x, k, exclude_self, _listed(by), list(by)))
+        else:
+            found.append(scan(index.members, ids, x, k, exclude_self, _below(x, s, home, bsf, index.envelopes, prune)))
+    return top_k(_all(found, spark), k), _all(visits, spark, VISITS)
+
+
+def _blocks(queries: DataFrame, size: int, sketched: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """blocks() with what bounds are taken of: the sketches, if the index has them, else the values."""
+    if not sketched:
+        for ids, x in blocks(queries, size):
+            yield ids, x, x
+        return
+    both = queries.select("query_id", F.concat(fn.doubles("values"), fn.doubles("sketch")).alias("values"), F.size("sketch").alias("n"))
+    n = both.agg(F.max("n")).first()[0] or 0
+    for ids, x in blocks(both, size):
+        yield ids, x[:, : x.shape[1] - n], x[:, x.shape[1] - n :]
+
+
+def _resident(home: np.ndarray) -> Wanted:
+    return lambda leaf: np.flatnonzero(home == leaf)
+
+
+def _listed(by: dict[int, np.ndarray]) -> Wanted:
+    return lambda leaf: by.get(leaf, np.zeros(0, np.int64))
+
+
+def _below(x: np.ndarray, s: np.ndarray, home: np.ndarray, bsf: np.ndarray, envelopes: dict[int, np.ndarray], prune: Prune | None) -> Wanted:
+    def wanted(leaf: int) -> np.ndarray:
+        lb = tree.bound(s, envelopes[leaf])
+        rows = np.flatnonzero((lb < bsf) & (home != leaf))
+        if prune is not None and len(rows):
+            told = rows[np.isfinite(bsf[rows])]
+            rows = np.setdiff1d(rows, told[prune(x[told], leaf, lb[told], bsf[told])])
+        return rows
+
+    return wanted
 
 
 def within(queries: DataFrame, series: DataFrame, radius2: float, exclude_self: bool = False) -> DataFrame:

@@ -48,3 +48,12 @@ def lower_bounds(queries: DataFrame, ranges: DataFrame, group: str = "leaf_id")
     q = queries.select("query_id", "seg", F.col("mean").alias("_m"), F.col("std").alias("_s"))
     gap = F.pow(outside(F.col("_m"), F.col("min_mean"), F.col("max_mean")), 2) + F.pow(outside(F.col("_s"), F.col("min_std"), F.col("max_std")), 2)
     return q.join(ranges, "seg").groupBy("query_id", group).agg(F.sum(F.col("len") * gap).alias("lb2"))
+
+
+def upper_bounds(queries: DataFrame, ranges: DataFrame, group: str = "leaf_id") -> DataFrame:
+    """query_id, group, ub2: no member of the group is farther. Of a segment the means differ by d_mean at most, and
+    what is left of both series after their means by std + max_std at most: ub2 = sum of n * (d_mean ** 2 + (std + max_std) ** 2)."""
+    q = queries.select("query_id", "seg", F.col("mean").alias("_m"), F.col("std").alias("_s"))
+    gap = F.greatest(F.abs(F.col("_m") - F.col("min_mean")), F.abs(F.col("_m") - F.col("max_mean")))
+    far = F.pow(gap, 2) + F.pow(F.col("_s") + F.col("max_std"), 2)
+    return q.join(ranges, "seg").groupBy("query_id", group).agg(F.sum(F.col("len") * far).alias("ub2"))

@@ -18,6 +18,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,30 @@ def best_splits(gains: DataFrame, group: str = "leaf_id") -> DataFrame:
     return best.select(group, "b.*")
 
 
+def all_splits(series: DataFrame, parts: list[tuple[int, int]], s: TreeSettings = TreeSettings(), group: str = "leaf_id", values: str = "values") -> DataFrame:
+    """The best horizontal or vertical split of each group: group, candidate, vertical, kind, start, len, gain, score, break_at (the first of the breaks).
+
+    Ranges of all segments and their halves are aggregated by group; a vertical split's gain is divided by the factor.
+    Of equal scores the first candidate is taken, in the order segment, mean, deviation, then each half in the same way.
+    """
+    pieces = []
+    for seg, (a, n) in enumerate(parts):
+        pieces.append((10 * seg, False, a, n))
+        if n >= 4:
+            pieces += [(10 * seg + 2, True, a, n // 2), (10 * seg + 4, True, a + n // 2, n - n // 2)]
+    stats = series.select(group, F.posexplode(fn.segment_stats(F.col(values), [(a, n) for _, _, a, n in pieces])).alias("i", "p"))
+    ranges = stats.groupBy(group, "i").agg(F.first("p.start").cast("long").alias("start"), F.first("p.len").cast("long").alias("len"), F.min("p.mean").alias("lm"), F.max("p.mean").alias("hm"), F.min("p.std").alias("ls"), F.max("p.std").alias("hs"))
+    known = F.create_map(*(F.lit(x) for i, (c, v, _, _) in enumerate(pieces) for x in (i, c)))
+    upright = F.array(*(F.lit(v) for _, v, _, _ in pieces))
+    w = F.col("hm") - F.col("lm")
+    on_mean, on_std = gain_formulas(F.col("len"), w, F.col("hs"), F.col("ls"), s.children)
+    both = F.array(F.struct(F.lit(0).alias("k"), F.lit("mean").alias("kind"), on_mean.alias("gain"), (F.col("lm") + w / s.children).alias("break_at")), F.struct(F.lit(1).alias("k"), F.lit("std").alias("kind"), on_std.alias("gain"), (F.col("ls") + (F.col("hs") - F.col("ls")) / s.children).alias("break_at")))
+    rows = ranges.select(group, "start", "len", F.element_at(known, F.col("i")).alias("c"), upright[F.col("i")].alias("vertical"), F.explode(both).alias("s"))
+    rows = rows.select(group, (F.col("c") + F.col("s.k")).cast("long").alias("candidate"), "vertical", F.col("s.kind").alias("kind"), "start", "len", F.col("s.gain").alias("gain"), F.when(F.col("vertical"), F.col("s.gain") / s.vertical_factor).otherwise(F.col("s.gain")).alias("score"), F.col("s.break_at").alias("break_at"))
+    best = rows.where("score > 0").groupBy(group).agg(F.max_by(F.struct("candidate", "vertical", "kind", "start", "len", "gain", "score", "break_at"), F.struct("score", -F.col("candidate"))).alias("b"))
+    return best.select(group, "b.*")
+
+
 def route_once(series: DataFrame, splits: DataFrame, group: str = "leaf_id", values: str = "values") -> DataFrame:
     """Adds side (0 below the break, 1 else) by each group's split."""
     part = F.slice(values, F.col("start").cast("int") + 1, F.col("len").cast("int"))
@@ -168,10 +193,27 @@ def route(nodes: list[Node], x: np.ndarray) -> np.ndarray:
     return out
 
 
+class Ragged(ValueError):
+    """Series that are null, hold a null, or differ in length."""
+
+
 def matrix(column: pa.Array) -> np.ndarray:
-    """The rows of a column of arrays of one length."""
+    """The rows of a column of arrays of one length. A null row, a null within a row, or another length is an error: there is no row to give."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    if not len(column):
+        return np.zeros((0, 0))
+    lengths = pc.list_value_length(column)
+    if column.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
+        raise Ragged("series must not be null and must have one length")
+    flat = column.flatten()
+    if flat.null_count:
+        raise Ragged("a series holds a null")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def regular(series: DataFrame, values: str = "values") -> DataFrame:
+    """The series without null ones and those that hold a null, which no distance is defined for."""
+    return series.where(F.col(values).isNotNull() & ~F.exists(F.coalesce(F.col(values), F.array()), lambda x: x.isNull()))
 
 
 def assign(series: DataFrame, nodes: list[Node], values: str = "values", into: str = "leaf_id") -> DataFrame:
@@ -200,8 +242,8 @@ def from_frame(frame: DataFrame) -> list[Node]:
     return [Node(r.node_id, r.parent_id, r.depth, [(p.start, p.len) for p in r.segments], r.n, r.is_leaf, r.on_std, r.start, r.len, list(r.breaks), list(r.children)) for r in frame.orderBy("node_id").collect()]
 
 
-def leaf_envelopes(members: DataFrame, nodes: list[Node], values: str = "values", group: str = "leaf_id") -> dict[int, np.ndarray]:
-    """For each leaf with rows, its segments' (start, len, min_mean, max_mean, min_std, max_std), over all rows; partial ranges by task."""
+def leaf_envelopes(members: DataFrame, nodes: list[Node], values: str = "values", group: str = "leaf_id") -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """For each leaf with rows, its segments' (start, len, min_mean, max_mean, min_std, max_std) over all rows, and their number; partial ranges by task."""
     sent = members.sparkSession.sparkContext.broadcast({n.node_id: n.segments for n in nodes if n.is_leaf})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +274,7 @@ def leaf_envelopes(members: DataFrame, nodes: list[Node], values: str = "values"
     out = {leaf: np.zeros((len(segments[leaf]), 6)) for leaf in set(whole["leaf_id"].to_pylist())}
     for r in whole.to_pylist():
         out[r["leaf_id"]][r["seg"]] = (*segments[r["leaf_id"]][r["seg"]], r["a"], r["b"], r["c"], r["d"])
-    return out
+    return out, {r["leaf_id"]: r["n"] for r in whole.to_pylist()}
 
 
 def bound(x: np.ndarray, envelope: np.ndarray) -> np.ndarray:

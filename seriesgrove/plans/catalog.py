@@ -32,14 +32,6 @@ def knn_exact_index(t: Tables):
     return rounded(found.drop("leaf_id").join(home, "series_id").select("query_id", "series_id", "leaf_id", "rank", "d2"), "d2")
 
 
-@query("SELECT query_id, max(rank) AS answers, bool_and(rank <= 5) AS within_k FROM truth GROUP BY query_id")
-def knn_approximate_counts(t: Tables):
-    """An unbudgeted approximate search returns up to k answers of the resident leaf; their number is that of the exact search where leaves hold more than k."""
-    index = search.build(t.series, tree.TreeSettings(leaf_size=max(50, 2 * K)))
-    found, _ = search.exact(t.queries, index, K, exclude_self=True, approximate=False)
-    return found.groupBy("query_id").agg(F.max("rank").alias("answers"), F.every(F.col("rank") <= K).alias("within_k"))
-
-
 @query(_ANSWERS.format("approx"))
 def knn_resident_leaf(t: Tables):
     return rounded(t.approximate(), "d2")
@@ -52,9 +44,10 @@ def radius_count(t: Tables):
 
 @query("SELECT query_id, series_id, round(d2, 6) AS d2 FROM pairs WHERE leaf_id = home")
 def sq_euclidean(t: Tables):
-    home = t.series.select(F.col("series_id").alias("query_id"), F.col("leaf_id").alias("home"))
-    pairs = search.distances(t.queries, t.series, exclude_self=True).join(home, "query_id").join(t.series.select("series_id", "leaf_id"), "series_id")
-    return rounded(pairs.where("leaf_id = home").select("query_id", "series_id", "d2"), "d2")
+    """All distances within a label."""
+    home = t.series.select(F.col("series_id").alias("query_id"), "leaf_id")
+    pairs = t.queries.withColumnRenamed("values", "q").join(home, "query_id").join(t.series, "leaf_id").where("query_id <> series_id")
+    return pairs.select("query_id", "series_id", F.round(fn.sq_euclidean("q", "values"), 6).alias("d2"))
 
 
 @query(f"SELECT query_id, round(max(d2), 6) AS bsf FROM truth GROUP BY query_id HAVING count(*) >= {K}")
@@ -154,10 +147,10 @@ def lower_bound_holds(t: Tables):
     return t.bounds().join(t.nearest(), ["query_id", "leaf_id"]).select("query_id", "leaf_id", (F.col("lb2") <= F.col("lnn") + 1e-6).alias("holds"))
 
 
-@query("SELECT series_id, array_to_string(list_transform(v[1:4], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)::VARCHAR), ' ') AS text FROM series")
+@query("SELECT series_id, array_to_string(list_transform(v, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)::VARCHAR), ' ') AS text FROM series")
 def array_text(t: Tables):
-    head = F.transform(F.slice("values", 1, 4), lambda x: F.round(x.cast("double") * 1000).cast("long"))
-    return t.series.select("series_id", fn.to_text(head).alias("text"))
+    whole = F.transform("values", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    return t.series.select("series_id", fn.to_text(whole).alias("text"))
 
 
 # Tree
@@ -395,6 +388,9 @@ _ALPHA95 = "SELECT leaf_id, max(alpha) AS alpha FROM alphas WHERE error_i = 1 GR
 _MODEL = f"SELECT p.leaf_id, avg(CASE WHEN pred - alpha > bsf THEN 1.0::DOUBLE ELSE 0 END) AS model_pruned FROM pex p JOIN ({_ALPHA95}) a ON a.leaf_id = p.leaf_id GROUP BY p.leaf_id"
 
 
+_MODEL_B = _MODEL.replace("pred - alpha", "3 * lb2 - alpha")
+
+
 def _alpha_one(t: Tables):
     return t.alphas().where("error_i = 1").groupBy("leaf_id").agg(F.max("alpha").alias("alpha"))
 
@@ -456,17 +452,17 @@ def recall_mean(t: Tables):
     return rounded(reports.recall_by_query(t.truth(), t.approximate(), K).agg(F.avg("recall").alias("recall")), "recall")
 
 
-_BATCHED = f"SELECT query_id // 200 AS batch_id, avg(recall) AS recall, count(*) AS queries FROM ({_RECALL}) GROUP BY query_id // 200"
+_BATCHED = f"SELECT (p // per)::BIGINT AS batch_id, avg(recall) AS recall, count(*) AS queries FROM (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS p, CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS per FROM ({_RECALL})) GROUP BY p // per"
 
 
 @query(f"SELECT batch_id, round(recall, 6) AS recall, queries FROM ({_BATCHED})")
 def recall_batched(t: Tables):
-    return rounded(reports.recall_by_batch(reports.recall_by_query(t.truth(), t.approximate(), K), 4 * EVERY), "recall")
+    return rounded(reports.recall_by_batch(reports.recall_by_query(t.truth(), t.approximate(), K), 4), "recall")
 
 
 @query(f"SELECT round(avg(recall), 6) AS mean_recall, round(avg(CASE WHEN recall >= 0.6 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, count(*) AS batches FROM ({_BATCHED})")
 def coverage_achieved(t: Tables):
-    found = reports.recall_by_batch(reports.recall_by_query(t.truth(), t.approximate(), K), 4 * EVERY)
+    found = reports.recall_by_batch(reports.recall_by_query(t.truth(), t.approximate(), K), 4)
     return rounded(reports.achieved_coverage(found, 0.6), "mean_recall", "coverage")
 
 
@@ -496,19 +492,21 @@ def node_access_stats(t: Tables):
     return rounded(reports.access_by_query(t.told()), "accessed_ratio", "wrong_pruned_ratio")
 
 
-@query("SELECT batch_id, error_i, round(avg(a) / 19, 6) AS accessed_ratio, round(avg(w) / 19, 6) AS wrong_pruned_ratio FROM (SELECT batch_id, error_i, query_id, count(*) FILTER (WHERE NOT pruned) AS a, count(*) FILTER (WHERE pruned AND n > 0) AS w FROM told GROUP BY batch_id, error_i, query_id) GROUP BY batch_id, error_i")
+@query("SELECT batch_id, error_i, round(avg(a) / (SELECT 2 * count(*) - 1 FROM sizes), 6) AS accessed_ratio, round(avg(w) / (SELECT 2 * count(*) - 1 FROM sizes), 6) AS wrong_pruned_ratio FROM (SELECT batch_id, error_i, query_id, count(*) FILTER (WHERE NOT pruned) AS a, count(*) FILTER (WHERE pruned AND n > 0) AS w FROM told GROUP BY batch_id, error_i, query_id) GROUP BY batch_id, error_i")
 def batch_access_summary(t: Tables):
-    return rounded(reports.access_by_batch(t.told(), 19), "accessed_ratio", "wrong_pruned_ratio")
+    return rounded(reports.access_by_batch(t.told(), 2 * t.sizes().count() - 1), "accessed_ratio", "wrong_pruned_ratio")
 
 
-@query("SELECT leaf_id, batch_id, max(alpha) FILTER (WHERE error_i = 0) AS error_0, max(alpha) FILTER (WHERE error_i = 1) AS error_1, max(alpha) FILTER (WHERE error_i = 2) AS error_2 FROM alphas GROUP BY leaf_id, batch_id")
+@query("SELECT leaf_id, batch_id, list(alpha ORDER BY error_i) AS alphas FROM alphas GROUP BY leaf_id, batch_id")
 def error_summary_pivot(t: Tables):
-    return reports.wide(t.alphas(), ["leaf_id", "batch_id"], "error_i", "alpha", [0, 1, 2], "error_")
+    """The alphas of each filter and batch by place, all places."""
+    return reports.along(t.alphas(), ["leaf_id", "batch_id"], "error_i", "alpha")
 
 
-@query(f"SELECT error_i, round(max(recall) FILTER (WHERE batch_id = 0), 6) AS recall_0, round(max(recall) FILTER (WHERE batch_id = 1), 6) AS recall_1, round(max(recall) FILTER (WHERE batch_id = 2), 6) AS recall_2 FROM recalls GROUP BY error_i")
+@query("SELECT error_i, list(round(recall, 6) ORDER BY batch_id) AS recalls FROM recalls GROUP BY error_i")
 def recall_pivot(t: Tables):
-    return rounded(reports.wide(t.recalls(), ["error_i"], "batch_id", "recall", [0, 1, 2], "recall_"), "recall_0", "recall_1", "recall_2")
+    """The recall at each place by batch, all batches."""
+    return reports.along(rounded(t.recalls(), "recall"), ["error_i"], "batch_id", "recall")
 
 
 # Models
@@ -573,11 +571,11 @@ def knn_navigated(t: Tables):
     return rounded(search.top_k(training.navigated(order, pairs, 2), K), "d2")
 
 
-@query("SELECT series_id, list_transform(v[1:4], lambda x: round(x::DOUBLE * 1000)) AS values FROM series")
+@query("SELECT series_id, list_transform(v, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)::DOUBLE) AS values FROM series")
 def text_array(t: Tables):
     """Numbers written as text and read back."""
-    head = F.transform(F.slice("values", 1, 4), lambda x: F.round(x.cast("double") * 1000).cast("long"))
-    return t.series.select("series_id", fn.from_text(fn.to_text(head)).alias("values"))
+    whole = F.transform("values", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    return t.series.select("series_id", fn.from_text(fn.to_text(whole)).alias("values"))
 
 
 @query("SELECT a.query_id, a.leaf_id, abs(a.lnn - a.lb2) <= 1e-5 * greatest(1, abs(a.lnn), abs(a.lb2)) AS equal FROM ex a")
@@ -605,11 +603,12 @@ def alpha_for_recall(t: Tables):
     return calibration.alpha_for_recall(recalls, calibration.largest_alphas(t.alphas()), 0.7)
 
 
-@query(f"SELECT model, round(avg(model_pruned), 6) AS model_pruned FROM (SELECT 'a' AS model, model_pruned FROM ({_MODEL}) UNION ALL SELECT 'b' AS model, model_pruned / 2 FROM ({_MODEL})) GROUP BY model")
+@query(f"SELECT model, round(avg(model_pruned), 6) AS model_pruned FROM (SELECT 'a' AS model, model_pruned FROM ({_MODEL}) UNION ALL SELECT 'b' AS model, model_pruned FROM ({_MODEL_B})) GROUP BY model")
 def trial_pruning(t: Tables):
-    rows = allocation.model_pruning(t.predicted(), _alpha_one(t))
-    both = rows.select(F.lit("a").alias("model"), "model_pruned").unionByName(rows.select(F.lit("b").alias("model"), (F.col("model_pruned") / 2).alias("model_pruned")))
-    return rounded(allocation.trial_pruning(both), "model_pruned")
+    """Two models: the second predicts from the bound alone."""
+    one = allocation.model_pruning(t.predicted(), _alpha_one(t)).withColumn("model", F.lit("a"))
+    two = allocation.model_pruning(t.predicted().withColumn("pred", 3 * F.col("lb2")), _alpha_one(t)).withColumn("model", F.lit("b"))
+    return rounded(allocation.trial_pruning(one.unionByName(two)), "model_pruned")
 
 
 @query(f"SELECT leaf_id, CASE WHEN ga >= gb THEN 'a' ELSE 'b' END AS model FROM (SELECT leaf_id, gain AS ga, gain / 2 + 0.001 AS gb FROM ({_GAIN})) WHERE abs(ga - gb) > 1e-9")
@@ -645,19 +644,6 @@ def cubic_spline(t: Tables):
 @query()
 def navigator_trained(t: Tables):
     """query_id, leaf_id, probability of a navigator fitted to the shares of nearest series."""
-    import numpy as np
-
-    from seriesgrove.functions.models import Navigator
-
-    rows = {r.query_id: np.array(r["values"], float) for r in t.queries.collect()}  # the training queries
     leaves = [r.leaf_id for r in t.sizes().orderBy("leaf_id").collect()]
-    at, ids = {leaf: i for i, leaf in enumerate(leaves)}, sorted(rows)
-    y = np.zeros((len(ids), len(leaves)))
-    for r in training.navigator_targets(t.knn(), K).collect():
-        y[ids.index(r.query_id), at[r.leaf_id]] = r.share
-    model = Navigator(LENGTH, leaves, 64)
-    x = np.stack([rows[i] for i in ids])
-    model.fit(x, y, epochs=50)
-    p = model.probabilities(x)
-    made = [(i, leaf, float(p[a, b])) for a, i in enumerate(ids) for b, leaf in enumerate(leaves)]
-    return t.spark.createDataFrame(made, "query_id bigint, leaf_id bigint, probability double")
+    model = training.fit_navigator(t.queries, training.navigator_targets(t.knn(), K), leaves, 64, 50)
+    return training.navigator_probabilities(model, t.queries)

@@ -8,13 +8,15 @@ centroid stands in for it, so that results can be compared.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesgrove.functions import series as fn
-from seriesgrove.operators import allocation, calibration, filters, reports, search, summaries, training, tree
+from seriesgrove.operators import calibration, search, summaries, training, tree
+from seriesgrove.operators.lineage import cut
 
 LENGTH, SEGMENTS, K, EVERY = 64, 4, 5, 50
 BATCHES, PARTS, TAKE, TARGET, COVERAGE = 3, 4, 2, 0.9, 0.6
@@ -30,6 +32,13 @@ class Tables:
         self.series = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("series_id"), F.col("label").cast("long").alias("leaf_id"), F.col("embedding").alias("values"))
         self.queries = self.series.where(F.col("series_id") % EVERY == 0).select(F.col("series_id").alias("query_id"), "values")
         self.parts = fn.segments(LENGTH, SEGMENTS)
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several parts of a query read is worked out once."""
+        if name not in self._made:
+            self._made[name] = cut(make())
+        return self._made[name]
 
     def summaries(self) -> DataFrame:
         return summaries.eapca(self.series, parts=self.parts).join(self.series.select("series_id", "leaf_id"), "series_id")
@@ -42,7 +51,7 @@ class Tables:
         return summaries.lower_bounds(own, self.envelopes()).withColumn("lb2", F.round("lb2", 6))
 
     def nearest(self) -> DataFrame:
-        return training.leaf_nearest(self.queries, self.series).withColumn("lnn", F.round("lnn", 6))
+        return training.leaf_nearest(self.queries, self.series).select("query_id", "leaf_id", F.round("lnn", 6).alias("lnn"))
 
     def examples(self) -> DataFrame:
         return training.examples(self.nearest(), self.bounds())
@@ -53,7 +62,7 @@ class Tables:
         return self.queries.crossJoin(centres).select("query_id", "leaf_id", F.round(1.5 * fn.sq_euclidean("values", "c"), 6).alias("pred"))
 
     def predicted(self) -> DataFrame:
-        return self.examples().join(self.predictions(), ["query_id", "leaf_id"])
+        return self._once("predicted", lambda: self.examples().join(self.predictions(), ["query_id", "leaf_id"]))
 
     def sizes(self) -> DataFrame:
         return self.series.groupBy("leaf_id").agg(F.count("*").alias("size"))
@@ -76,13 +85,13 @@ class Tables:
         return calibration.with_sentinels(told, ["leaf_id", "batch_id"]).withColumn("error", F.round("error", 6))
 
     def alphas(self) -> DataFrame:
-        return calibration.sorted_alphas(self.errors(), ["leaf_id", "batch_id"])
+        return self._once("alphas", lambda: calibration.sorted_alphas(self.errors(), ["leaf_id", "batch_id"]))
 
     def knn(self) -> DataFrame:
-        return training.knn_leaves(self.truth())
+        return self._once("knn", lambda: training.knn_leaves(self.truth()))
 
     def recalls(self) -> DataFrame:
-        return calibration.batch_recall(self.batches(), self.knn(), self.predicted(), self.alphas(), K)
+        return self._once("recalls", lambda: calibration.batch_recall(self.batches(), self.knn(), self.predicted(), self.alphas(), K))
 
     def visits(self) -> DataFrame:
         """query_id, leaf_id, lb2, visit, size, state by the bound of the approximate answers."""
@@ -146,8 +155,6 @@ PARTS_SQL = {
 
 def with_parts(sql: str) -> str:
     """The query after the common tables that it needs."""
-    import re
-
     needed, names = set(), list(PARTS_SQL)
     todo = [sql]
     while todo:
@@ -157,7 +164,9 @@ def with_parts(sql: str) -> str:
                 needed.add(name)
                 todo.append(PARTS_SQL[name])
     held = ", ".join(f"{n} AS ({PARTS_SQL[n]})" for n in names if n in needed)
-    return f"WITH {held} {sql}" if held else sql
+    if not held:
+        return sql
+    return f"WITH {held}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {held} {sql}"
 
 
 def query(sql: str | None = None):

@@ -63,7 +63,7 @@ def test_filters_train_predict_and_search(spark, sf_dir):
     told = filters.predict(made, t.queries, training)
     assert told.count() == 10 * t.queries.count()
     pruner = filters.pruner(made, dict.fromkeys(range(10), 1e9), training)
-    index = search.Index([], None, {})
+    index = search.Index([], None, {}, {})
     assert index.leaves == []
     assert not pruner(np.zeros((3, 64)), 1, np.zeros(3), np.ones(3)).any()
     tight = filters.pruner(made, dict.fromkeys(range(10), 0.0), training)

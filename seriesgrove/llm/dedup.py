@@ -308,9 +308,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     or go together. Rows without an id are compared by their texts and stay only where no row with an id is like them.
     """
     key = textops.fresh(docs.columns, "row_id")
-    digest = textops.fresh([*docs.columns, key], "text_digest")
-    made = F.shiftleft(F.lit(1).cast("long"), 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 3)
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), made)).withColumn(digest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    digest = textops.fresh([*docs.columns, key], "text_digest")  # 128 bits of two seeds
+    whole = F.coalesce(F.col(text), F.lit(""))
+    made = F.shiftleft(F.lit(1).cast("long"), 62) + F.shiftrightunsigned(F.xxhash64(whole), 3)
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), made)).withColumn(digest, F.struct(F.xxhash64(whole), F.xxhash64(F.lit(7), whole)))
     kept = near_duplicates(keyed, key, text).where("kept").select(F.col(key)).distinct()
     return keyed.join(kept, key, "left_semi").dropDuplicates([key, digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -9,7 +9,9 @@ findings stay in any case.
 
 Defined results: a null text is an empty text and has no spans. Repeated rows
 get equal results. Spans count code points, the end is exclusive. A method span
-that lies inside a base span is not repeated.
+that lies inside a base span is not repeated. Out of the method's reach are keys
+of letters alone, which are like words, and runs shorter than a class's window;
+tests measure the share of random keys that each class finds.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ class CharClass:
 CLASSES = (
     CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7), CharClass("entropy_hexupper", r"[0-9A-F]{24,}", 24, 3.0),
     CharClass("entropy_lower", r"[a-z0-9]{20,}", 20, 3.7, 2), CharClass("entropy_upper", r"[A-Z0-9]{20,}", 20, 3.7, 2),
+    CharClass("entropy_hexmixed", r"[0-9a-fA-F]{32,}", 32, 3.2, 4),
 )
 #: Whole candidates that are no secrets: UUIDs, digits only, words and paths with a short number at the end, well-known digests of nothing, the sample key of a well-known manual.
 ALLOW = (

@@ -80,3 +80,20 @@ def test_query_and_edges(spark, tmp_path):
     assert sum(len(p) for found in parts.values() for _, p in found) == sum(want)
     empty = spark.createDataFrame([(1, None), (2, bytearray())], "doc_id bigint, ids binary")
     assert packing.pack_tokens(empty).collect() == [] and packing.pack_tokens(empty.limit(0)).collect() == []
+
+
+def test_every_pool_is_packed_as_plain_best_fit_would(spark):
+    """Rows of the operator against a plain packing of the same documents, pool by pool."""
+    rng = np.random.default_rng(8)
+    docs = [(i, rng.integers(1, 49000, int(n)).astype("<u4")) for i, n in enumerate(rng.choice([0, 3, 17, 40, 64, 65, 130, 500], 300))]
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in docs], "doc_id bigint, ids binary").coalesce(1)
+    got = sorted(r.n_tokens for r in packing.pack_tokens(frame, length=64, pool=4000).collect())
+    want, pool, held = [], [], 0
+    for _, x in docs:
+        pool += [min(64, len(x) - at) for at in range(0, len(x), 64)]
+        held += len(x)
+        if held >= 4000:
+            want += [sum(pool[i] for i in row) for row in plain_best_fit(pool, 64)]
+            pool, held = [], 0
+    want += [sum(pool[i] for i in row) for row in plain_best_fit(pool, 64)]
+    assert got == sorted(want)

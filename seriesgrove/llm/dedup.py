@@ -22,7 +22,8 @@ probability of about 5e-6.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing. Ids should be unique: rows that share an id count
-as one document, and each of them gets its component. A null id is never a
+as one document, links are confirmed on the longest of its texts, and each of
+them gets its component. A null id is never a
 component's id unless all its ids are null. No rows give no rows.
 """
 
@@ -88,6 +89,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 def fine_sketch(hashes: np.ndarray) -> np.ndarray:
     """512 registers, one more than their value; empty buckets have 0."""
+    if not len(hashes):
+        return np.zeros(1 << FINE_BITS, "<u2")
     out, filled = registers(hashes, FINE_BITS)
     return np.where(filled, out + np.uint16(1), np.uint16(0)).astype("<u2")
 
@@ -179,7 +182,7 @@ def finely_possible(one: np.ndarray, others: np.ndarray, size: int, sizes: np.nd
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets of distinct shingles are similar enough."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * both >= OVER * (len(a) + len(b) - both)
+    return both > 0 and UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
 @textops.tidy
@@ -269,13 +272,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = signed.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "chance", "regs"), "id").alias("c")).select("digest", "c.*")
     classes = cut(classes)
     banded = classes.select("id", F.posexplode("regs").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1")
+    # Tables of buckets are cut, so that a join with a hot bucket's members can be split.
+    shared = cut(banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1"))
     near = cut(banded.join(shared, ["band", "key"]).select("band", "key", "id", "low"))
     # What may have links at all: their sketches and texts, once.
     some = near.select("id").distinct()
     sketches = cut(classes.drop("digest").join(some, "id"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    texts = cut(rows.join(some, "id").groupBy("id").agg(F.first("text").alias("text")))
+    longest = F.struct(F.length(F.coalesce("text", F.lit(""))), F.col("text"))  # where rows share an id
+    texts = cut(rows.join(some, "id").groupBy("id").agg(F.max_by("text", longest).alias("text")))
     side = lambda x: sketches.select(F.col("id").alias(x), F.struct("n", "chance", "regs").alias(f"s{x}"))
     first = near.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     first = first.join(side("u"), "u").join(side("v"), "v").where(possible("su", "sv")).select("u", "v", estimate("su", "sv").alias("e"))
@@ -285,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     labels = components(sure)
     told = near.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
     apart = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), 16 * F.sqrt(F.count("*"))))).cast("int").alias("blocks")).where("x <> y").select("band", "key", "blocks")
-    told = cut(told.join(apart, ["band", "key"]))
+    told = cut(told.join(cut(apart), ["band", "key"]))
     some = told.select("id").distinct()
     fine = texts.join(some, "id").select("id", "text").mapInArrow(partial(_fine, lower=lower), "id bigint, fine binary")
     fine = cut(sketches.join(fine, "id").select("id", "n", "regs", "fine"))

@@ -11,7 +11,8 @@ sets are compared as well as large ones. Four registers make a band.
    class. Of its candidates each class keeps the one with the highest Jaccard
    estimate, corrected for chance collisions of registers; full sets confirm it.
 3. Components of the confirmed links join most classes. Any two classes that
-   share a bucket but are in different components still are candidates. They get
+   share a bucket but are in different components still are candidates, so those
+   of a bucket's largest component are sent to the others only. They get
    sketches of 512 buckets, where the least hashes are a sample of the union
    without replacement, for small sets nearly all of it; those whose corrected
    estimate is not well below the threshold are confirmed on full sets.
@@ -289,12 +290,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # What is not joined yet.
     labels = components(sure)
     told = near.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
-    apart = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), 16 * F.sqrt(F.count("*"))))).cast("int").alias("blocks")).where("x <> y").select("band", "key", "blocks")
+    counts = told.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    apart = counts.groupBy("band", "key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("m")).where("labels > 1")
+    # Members of a bucket's most frequent component meet the others only: its blocks come first.
+    fit = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), BLOCK / 64 * F.sqrt("m")))
+    apart = apart.select("band", "key", "top", F.ceil(F.col("most") / fit).cast("int").alias("tops"), F.ceil((F.col("m") - F.col("most")) / fit).cast("int").alias("others"))
     told = cut(told.join(cut(apart), ["band", "key"]))
     some = told.select("id").distinct()
     fine = texts.join(some, "id").select("id", "text").mapInArrow(partial(_fine, lower=lower), "id bigint, fine binary")
     fine = cut(sketches.join(fine, "id").select("id", "n", "regs", "fine"))
-    placed = told.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    topped = F.col("label") == F.col("top")
+    block = F.when(topped, F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.col("tops") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    placed = told.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.when(topped, F.col("tops")).otherwise(0), F.col("tops") + F.col("others") - 1)))
     placed = placed.select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "label").join(fine, "id")
     placed = placed.select("band", "key", "i", "j", "block", "id", "label", "n", "regs", "fine").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     others = confirm(placed.mapInArrow(_open_pairs, "u bigint, v bigint"), texts, lower)

@@ -60,6 +60,11 @@ def activate(filters: DataFrame, chosen: DataFrame) -> DataFrame:
     return filters.join(told, "leaf_id", "left").withColumn("active", F.col("weights").isNotNull() & F.coalesce("_on", F.lit(False))).drop("_on").select(*filters.columns)
 
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """leaf_id of the filters that rows are about, each once."""
+    return rows.select("leaf_id").dropDuplicates()
+
+
 def active_count(filters: DataFrame) -> DataFrame:
     """One row: leaves with a filter, and with an active one; a leaf counts once."""
     return filters.agg(F.countDistinct("leaf_id").alias("filters"), F.countDistinct(F.when(F.col("active"), F.col("leaf_id"))).alias("active"))

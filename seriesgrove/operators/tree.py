@@ -14,7 +14,7 @@ envelopes are those of all their rows, so bounds hold for all rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -227,6 +227,15 @@ def assign(series: DataFrame, nodes: list[Node], values: str = "values", into: s
     return series.withColumn(into, run(F.col(values)))
 
 
+def with_sizes(nodes: list[Node], sizes: dict[int, int]) -> list[Node]:
+    """The same nodes, n being the series below each; sizes: of the leaves."""
+    total = {n.node_id: sizes.get(n.node_id, 0) for n in nodes}
+    for n in sorted(nodes, key=lambda n: -n.depth):
+        if n.parent_id is not None:
+            total[n.parent_id] += total[n.node_id]
+    return [replace(n, n=total[n.node_id]) for n in nodes]
+
+
 NODES = "node_id bigint, parent_id bigint, depth int, is_leaf boolean, n bigint, on_std boolean, start int, len int, breaks array<double>, children array<bigint>, segments array<struct<start:int,len:int>>"
 
 

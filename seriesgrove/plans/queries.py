@@ -163,7 +163,7 @@ def with_parts(sql: str) -> str:
             if name not in needed and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
                 needed.add(name)
                 todo.append(PARTS_SQL[name])
-    held = ", ".join(f"{n} AS ({PARTS_SQL[n]})" for n in names if n in needed)
+    held = ", ".join(f"{n} AS ({PARTS_SQL[n]})" for n in names if n in needed and f"{n} AS (SELECT" not in sql)  # the SQL of another query has its own
     if not held:
         return sql
     return f"WITH {held}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {held} {sql}"

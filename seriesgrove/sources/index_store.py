@@ -40,6 +40,25 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+def save_by_leaf(frame: DataFrame, path: str) -> None:
+    """Rows of leaves, such as local examples, in a folder for each leaf."""
+    frame.repartition("leaf_id").write.mode("overwrite").partitionBy("leaf_id").parquet(path)
+
+
+def load_by_leaf(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("leaf_id", F.col("leaf_id").cast("long"))
+
+
+def save_ids_text(batches: DataFrame, path: str) -> None:
+    """The queries of each calibration batch as text lines: batch, query."""
+    batches.select(F.concat_ws(" ", "batch_id", "query_id").alias("value")).write.mode("overwrite").text(path)
+
+
+def load_ids_text(spark: SparkSession, path: str) -> DataFrame:
+    part = F.split("value", " ")
+    return spark.read.text(path).select(part[1].cast("long").alias("query_id"), part[0].cast("long").alias("batch_id"))
+
+
 #: What a stored set of alphas may hold.
 MOST_BATCHES, MOST_VALUES = 100, 10_000
 CORES = ("discrete", "histogram", "spline", "cubic", "steffen")

@@ -35,12 +35,18 @@ def read_raw(spark: SparkSession, path: str, length: int, id_col: str = "series_
 
 
 def write_raw(series: DataFrame, path: str, id_col: str = "series_id") -> int:
-    """The values in order of id, as one headerless file at a local path; partitions stream through the driver one by one, for exchange of small sets."""
+    """The values in order of id, as one headerless file at any path that Spark knows; rows stream through the driver, a block at a time."""
+    spark = series.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     n = 0
-    with open(path, "wb") as out:
-        for row in series.orderBy(id_col).select("values").toLocalIterator():
-            out.write(np.asarray(row[0], "<f4").tobytes())
-            n += 1
+    try:
+        for row in raw_parts(series, id_col).orderBy("first").toLocalIterator():
+            out.write(bytearray(row.data))
+            n += row.n
+    finally:
+        out.close()
     return n
 
 

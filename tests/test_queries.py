@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from seriesgrove.plans import catalog, engine  # noqa: F401
+from seriesgrove.plans import catalog, engine, stored  # noqa: F401
 
 
 def norm(v):

@@ -71,3 +71,59 @@ def test_edges(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, str(tmp_path))
         assert np.isfinite(out.count())
+
+
+def plain_redacted(text):
+    """The text with each run of overlapping spans replaced once."""
+    if not text:
+        return text
+    out, at, end = [], 0, 0
+    for a, z, _ in sorted(secrets.Scanner().spans(text)[1]):
+        if a >= end:
+            out += [text[at:a], "[SECRET]"]
+        end = max(end, z)
+        at = end
+    return "".join(out) + text[at:]
+
+
+def plain_taken(docs):
+    """(doc_id, text) of each row that the mix takes, from the SQL of the mix alone."""
+    import duckdb
+    import pandas as pd
+
+    from seriesgrove.llm import mixing
+
+    base = duckdb.connect()
+    base.register("documents", pd.DataFrame(docs, columns=["doc_id", "text", "source"]))
+    clip = "greatest(0, least(size, {} - before))".format
+    ranges = f"{clip('first * block')} AS a, {clip('(first + extra) * block')} AS b, {clip('greatest(0, first + extra - blocks) * block')} AS c"
+    sql = mixing.OP6_SQL.rsplit("SELECT doc_id, size, n AS source_size", 1)[0] + f"SELECT doc_id, rounds, {ranges} FROM y"
+    texts = {i: t for i, t, _ in docs}
+    for i, rounds, a, b, c in base.sql(sql).fetchall():
+        words = list(WORD.finditer(texts[i] or ""))
+        a, b, c = int(a), int(b), int(c)
+        spans = [(0, c), (a, b)] if not (c and b > a and c == a) else [(0, b)]
+        for lo, hi in [(0, len(words))] * int(rounds) + [s for s in spans if s[1] > s[0]]:
+            if lo == 0 and hi == len(words):
+                yield i, texts[i]
+            else:
+                yield i, texts[i][0 if lo == 0 else words[lo].start() : len(texts[i]) if hi == len(words) else words[hi - 1].end()]
+
+
+def test_the_whole_run_matches_a_plain_version(spark, tmp_path):
+    import hashlib
+
+    rows = [r for r in corpus() if r[0] is not None]
+    out = sorted(map(tuple, corpus_pipeline.run(spark, write_sf(spark, tmp_path, rows)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    texts = {i: t for i, t, *_ in rows}
+    good = [i for i in texts if repetition.measure(pa.array([texts[i]], pa.string()), repetition.Limits())["kept"][0]]
+    parts = plain_components([(i, texts[i]) for i in good])
+    kept = [(i, plain_redacted(t), s) for i, t, _, s, _ in rows if i in parts and parts[i][1] == i]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.word_bpe())
+    want = []
+    for i, t in plain_taken(kept):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert out == sorted(want) and len(out) > 40

@@ -114,7 +114,7 @@ PARTS_SQL |= {
     "f_pred": f"SELECT query_id, leaf_id, {_mlp('leaf_id')} AS pred FROM f_home, f_sizes WHERE leaf_id <> 4",
     "f_one": "SELECT query_id, j, " + _sigmoid(_WEIGHT.format(n=LENGTH, w="((i * 5 + j * 3) % 7 - 3)")) + " AS h FROM f_home, range(3) t(j)",
     "f_two": "SELECT query_id, k, " + _sigmoid("sum(h * (((j * 2 + k * 3) % 5 - 2) * 1.5::DOUBLE))") + " AS h FROM f_one, range(3) t(k) GROUP BY query_id, k",
-    "f_prob": "SELECT query_id, leaf_id, " + _sigmoid("sum(h * (((k * 3 + d * 2) % 5 - 2) * 2.0::DOUBLE))") + f" AS probability FROM f_two, (VALUES {', '.join(f'({leaf}, {d})' for d, leaf in enumerate(LEAVES))}) t(leaf_id, d) GROUP BY query_id, leaf_id",
+    "f_prob": "SELECT query_id, CAST(leaf_id AS BIGINT) AS leaf_id, " + _sigmoid("sum(h * (((k * 3 + d * 2) % 5 - 2) * 2.0::DOUBLE))") + f" AS probability FROM f_two, (VALUES {', '.join(f'({leaf}, {d})' for d, leaf in enumerate(LEAVES))}) t(leaf_id, d) GROUP BY query_id, leaf_id",
     "f_told": "SELECT l.query_id, l.leaf_id, lb2, bsf, size, home, pred, probability, CASE WHEN l.leaf_id = home THEN 'resident' WHEN bsf IS NULL OR lb2 < bsf THEN 'scanned' ELSE 'bound' END AS plain FROM f_lb l JOIN f_home USING (query_id) JOIN f_sizes s ON s.leaf_id = l.leaf_id LEFT JOIN f_bsf USING (query_id) LEFT JOIN f_pred p ON p.query_id = l.query_id AND p.leaf_id = l.leaf_id LEFT JOIN f_prob n ON n.query_id = l.query_id AND n.leaf_id = l.leaf_id",
     "f_visits": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY plain <> 'resident', lb2, leaf_id) AS visit FROM f_told",
     "f_budget": f"SELECT *, CASE WHEN plain = 'scanned' AND count(*) FILTER (WHERE plain <> 'bound') OVER w > {MOST_LEAVES} THEN 'budget' ELSE plain END AS state FROM f_visits WINDOW w AS (PARTITION BY query_id ORDER BY visit)",

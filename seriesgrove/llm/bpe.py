@@ -50,7 +50,7 @@ EDGE = 512
 #: Bytes of text for which a worker holds results at once.
 HELD = 1 << 20
 #: Bytes of words and ids that a worker keeps from one task to the next, and bytes of a word that is kept.
-KEPT, WORD = 96 << 20, 128
+KEPT, WORD = 64 << 20, 128
 
 BLANK = re.compile("[\x20\x09-\x0d]")
 
@@ -176,7 +176,11 @@ class Encoder:
                 data[at] = b.data[at]
         lengths = ends - starts
         hashes = textops.hash_words(data, starts, ends)
-        hashes, one, word = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)  # any place of a word will do, so the order of equal ones does not matter
+        hashes = hashes[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        hashes, one, word = hashes[new], order[new], np.empty(len(order), np.int64)
+        word[order] = np.cumsum(new) - 1
         own, size = starts[one], lengths[one]
         at = self.table.lookup(hashes, data, own, size)
         new, held = np.flatnonzero(at == -1), np.flatnonzero(at >= 0)
@@ -192,9 +196,11 @@ class Encoder:
         # Texts with a special token, or a word whose hash another word has, go to the library as they are.
         alone = np.zeros(len(b), bool)
         same = lengths == size[word]
-        as_long = slice(None) if same.all() else np.flatnonzero(same)
+        whole_block = bool(same.all())
+        as_long = slice(None) if whole_block else np.flatnonzero(same)
         length = lengths[as_long]
-        differ = data[ragged(starts[as_long], length)] != data[ragged(own[word][as_long], length)]
+        read = data[~textops.IS_SPACE[b.data]] if whole_block else data[ragged(starts[as_long], length)]  # the bytes of these words, one after another
+        differ = read != data[ragged(own[word][as_long], length)]
         if differ.any():
             same[np.repeat(np.arange(len(word))[as_long], length)[differ]] = False
         alone[np.searchsorted(first, np.flatnonzero(~same | (at[word] == -2)), "right") - 1] = True

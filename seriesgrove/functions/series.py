@@ -74,6 +74,11 @@ def almost_equal(a, b, eps: float = 1e-5) -> Column:
     return F.abs(F.col(a) - F.col(b) if isinstance(a, str) else a - b) <= eps * F.greatest(F.lit(1.0), F.abs(F.col(a) if isinstance(a, str) else a), F.abs(F.col(b) if isinstance(b, str) else b))
 
 
+def signed_round(x, places: int = 6) -> Column:
+    """A number rounded; one just below zero gives -0.0, as IEEE rounding does, where Spark's round() loses the sign."""
+    return F.when((x < 0) & (x > -0.5 * 10.0**-places), F.lit(-0.0)).otherwise(F.round(x, places))
+
+
 def noise(key, position) -> Column:
     """A number in [-0.5, 0.5) from two integers alone, so that other engines agree."""
     return F.pmod(key * F.lit(7919) + position * F.lit(104729) + F.lit(12345), F.lit(1000)).cast("double") / 1000 - 0.5

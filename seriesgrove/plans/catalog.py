@@ -98,7 +98,7 @@ def knn_filtered(t: Tables):
 
 @query(f"SELECT series_id, list_transform(v, lambda x: round((x::DOUBLE - m) / s, 6)) AS values FROM (SELECT series_id, v, list_avg(v::DOUBLE[]) AS m, list_aggregate(v::DOUBLE[], 'stddev_pop') AS s FROM series)")
 def znormalize(t: Tables):
-    return t.series.select("series_id", F.transform(fn.znormalize("values"), lambda x: F.round(x, 6)).alias("values"))
+    return t.series.select("series_id", F.transform(fn.znormalize("values"), lambda x: fn.signed_round(x)).alias("values"))
 
 
 @query("SELECT series_id, round(list_avg(v::DOUBLE[]), 6) AS mean, round(list_aggregate(v::DOUBLE[], 'stddev_pop'), 6) AS std FROM series")
@@ -228,7 +228,7 @@ _SYNTH = f"SELECT series_id AS query_id, list(x ORDER BY i) AS v FROM (SELECT se
 @query(f"SELECT query_id, list_transform(v, lambda x: round((x - m) / s, 6)) AS values FROM (SELECT query_id, v, list_avg(v) AS m, list_aggregate(v, 'stddev_pop') AS s FROM ({_SYNTH})) WHERE s > 1e-5")
 def synth_queries_portable(t: Tables):
     made = training.synthesize(t.series)
-    return made.select("query_id", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
+    return made.select("query_id", F.transform("values", lambda x: fn.signed_round(x)).alias("values"))
 
 
 @query()

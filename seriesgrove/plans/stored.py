@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesgrove.functions import series as fn
 from seriesgrove.operators import filters, reports, search, training, tree
 from seriesgrove.operators.lineage import scratch
 from seriesgrove.plans import catalog, engine
@@ -27,8 +28,6 @@ def _raw(t: Tables, series: DataFrame, length: int) -> DataFrame:
 def _sketches(t: Tables) -> DataFrame:
     """Means of 16 pieces of each series, rounded so that 32 bits hold them alike everywhere."""
     parts = [(4 * i, 4) for i in range(16)]
-    from seriesgrove.functions import series as fn
-
     stats = fn.segment_stats(F.col("values"), parts)
     return t.series.select("series_id", F.transform(stats, lambda p: (F.round(p["mean"] * 1024) / 1024).cast("float")).alias("values"))
 
@@ -147,7 +146,7 @@ def knn_stored(t: Tables):
 @query(SQL["synth_queries_portable"])
 def synth_queries_stored(t: Tables):
     held = _kept(t, training.synthesize(t.series), "queries")
-    return held.select("query_id", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
+    return held.select("query_id", F.transform("values", lambda x: fn.signed_round(x)).alias("values"))
 
 
 @query(SQL["local_queries"])

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from seriesgrove.plans import catalog
+from seriesgrove.plans import catalog, stored  # noqa: F401
 
 
 def beside_zero(vec_id, noisy, at=15, below=2.5e-7):
@@ -20,7 +20,7 @@ def beside_zero(vec_id, noisy, at=15, below=2.5e-7):
     return x
 
 
-@pytest.mark.parametrize("name", ["synth_queries_portable", "znormalize"])
+@pytest.mark.parametrize("name", ["synth_queries_portable", "synth_queries_stored", "znormalize"])
 def test_values_just_below_zero_keep_their_sign_as_in_sql(spark, tmp_path, name):
     ids = list(range(8))
     rows = [beside_zero(i, name != "znormalize", below=2.5e-7 * (-1) ** i) for i in ids]

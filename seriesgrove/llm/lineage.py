@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,18 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def forget(frame: DataFrame) -> None:
+    """Lets Spark remove the shuffles of frames that nothing names any more, before the next ones are written.
+
+    It does so when the JVM's collector has found them. What Python has dropped is told with the next calls, hence
+    several; that they do not all succeed at once costs room, not rows.
+    """
+    gc.collect()
+    for _ in range(3):
+        frame.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def _min_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 

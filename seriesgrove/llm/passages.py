@@ -17,8 +17,18 @@
    more words lie between two matches than an end may move outward.
 4. Alignment: the words of both texts around a chain are compared: stretches
    between matches by edit distance, the ends outward until mismatches outweigh.
-   What agrees well enough is a fuzzy passage. Passages of a text that overlap
-   or touch are united; those of `min_words` or more are the result.
+   What agrees well enough is a fuzzy passage; a chain that does not is taken in
+   parts, down to its equal runs. Passages of a text that overlap or touch are
+   united; those of `min_words` or more are the result.
+5. The other pairs: after that, all words of seeds that an earlier text has are
+   in passages. A pair of texts that was not linked at each of its seeds can add
+   only words between two seeds. So where words between two passages are not in
+   any, and seeds on both sides were not linked with all who have them, all
+   earlier texts that have any two such seeds equally near, in that order, are
+   found by a join on the two seeds together, and are chained and aligned with
+   the text over the whole of both. Left out are only pairs whose seeds lie so
+   much further apart in one text that no chain over them can agree well enough.
+   There is no cap on the rest.
 
 Words are the runs of `[^\\x20\\x09-\\x0D]+`, compared exactly; positions count
 words. Defined results: a null or empty text, or one shorter than a k-mer, has
@@ -39,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesgrove.llm import textops
-from seriesgrove.llm.lineage import cut
+from seriesgrove.llm.lineage import cut, forget
 
 
 @dataclass(frozen=True)
@@ -154,8 +164,8 @@ def _seeds(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
         yield from out()
 
 
-def links(seeds: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Columns doc, other, at, other_at: each place of a seed with one in the text of the least id, and one in the text before in order of id."""
+def linked(seeds: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links, and columns doc, seed (32 bits of it), at, rank of all places of seeds that several texts have; rank is -1 for the text of the least id, then -2 and so on, not below -4."""
     order = np.argsort(seeds)
     s = seeds[order]
     same = s[1:] == s[:-1]
@@ -170,28 +180,39 @@ def links(seeds: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
     nth = np.arange(len(seeds)) - heads[holder]
     begun = np.maximum.accumulate(np.where(fresh[heads], np.arange(len(heads)), 0))[holder]
     rows = np.flatnonzero(holder > begun)
+    last = np.append(fresh[heads][1:], True)[: len(heads)]  # holders that are the last of their seed
+    several = np.flatnonzero((holder > begun) | ~last[holder])
+    seen = np.stack([docs[several], (seeds[several] >> np.uint64(16) & np.uint64(0xFFFFFFFF)).view(np.int64), at[several], -1 - np.minimum(holder - begun, 3)[several]])
     first, before = begun[rows], holder[rows] - 1
     more = before != first
     rows, of = np.append(rows, rows[more]), np.append(first, before[more])
     to = heads[of] + nth[rows] % times[of]
-    return np.stack([docs[rows], docs[to], at[rows], at[to]])
+    return np.stack([docs[rows], docs[to], at[rows], at[to]]), seen
+
+
+def links(seeds: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Columns doc, other, at, other_at: each place of a seed with one in the text of the least id, and one in the text before in order of id."""
+    return linked(seeds, docs, at)[0]
 
 
 @textops.tidy
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    held, seen, size = [], [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        m = np.concatenate(held, axis=1)
-        m = m[:, np.lexsort((m[3], m[2], m[1], m[0]))]
-        return deal((textops.mix(m[0].view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32), list(m))
+        for parts, keys in ((held, (3, 2, 1, 0)), (seen, (2, 0))):
+            m = np.concatenate(parts, axis=1)
+            m = np.ascontiguousarray(m[:, np.lexsort([m[i] for i in keys])])
+            yield from deal((textops.mix(m[0].view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32), list(m))
 
     for seeds, (docs, at) in dealt(batches):
-        held.append(links(seeds, docs, at))
-        size += held[-1].shape[1]
+        own, places = linked(seeds, docs, at)
+        held.append(own)
+        seen.append(places)
+        size += own.shape[1] + places.shape[1]
         if size >= HELD:
             yield from out()
-            held, size = [], 0
+            held, seen, size = [], [], 0
     if size:
         yield from out()
 
@@ -264,31 +285,44 @@ def chained(a: np.ndarray, b: np.ndarray, k: int, gap: float) -> list[np.ndarray
     return chain(a, b, k, gap)
 
 
-CHAINS = "doc bigint, other bigint, matches array<struct<a:int,b:int>>"
+def paths(own: np.ndarray, s: Settings) -> list[np.ndarray]:
+    """The chains (a, b) of the links of one pair of texts, which are thinned and in order."""
+    return [x[:, 2:] for path in chained(own[:, 2], own[:, 3], s.k, s.gap) for x in apart(own[path], s.reach + s.k)]
+
+
+CHAINS = "doc bigint, chains array<struct<other:bigint,matches:array<struct<a:int,b:int>>>>, open boolean, n int, seen binary"
 
 
 @textops.tidy
 def _chains(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Links by the bucket of doc: the chains of each pair of texts."""
+    """Links and places by the bucket of doc: a row for each text, with its chains, whether it was not linked with all who have its seeds, and its places (at, seed, rank)."""
     pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
     for _, columns in dealt(batches):
-        m = columns.T
-        m = m[np.lexsort((m[:, 3], m[:, 2], m[:, 1], m[:, 0]))]
-        m = thinned(m[np.append(True, (m[1:] != m[:-1]).any(axis=1))], s.k)  # rows may repeat
-        cuts = np.append(np.flatnonzero((m[1:, :2] != m[:-1, :2]).any(axis=1)) + 1, len(m))
-        docs, others, found = [], [], []
-        lo = 0
-        for hi in cuts.tolist():
-            own = m[lo:hi]
-            for part in (x for path in chained(own[:, 2], own[:, 3], s.k, s.gap) for x in apart(own[path], s.reach + s.k)):
-                docs.append(int(own[0, 0]))
-                others.append(int(own[0, 1]))
-                found.append(part[:, 2:])
-            lo = hi
-        flat = np.concatenate(found)
+        m, seen = columns[:, columns[3] >= 0].T, columns[:, columns[3] < 0]
+        chains: dict[int, list[tuple[int, np.ndarray]]] = {}
+        if len(m):
+            m = m[np.lexsort((m[:, 3], m[:, 2], m[:, 1], m[:, 0]))]
+            m = thinned(m[np.append(True, (m[1:] != m[:-1]).any(axis=1))], s.k)  # rows may repeat
+            cuts = np.append(np.flatnonzero((m[1:, :2] != m[:-1, :2]).any(axis=1)) + 1, len(m))
+            lo = 0
+            for hi in cuts.tolist():
+                own = m[lo:hi]
+                for part in paths(own, s):
+                    chains.setdefault(int(own[0, 0]), []).append((int(own[0, 1]), part))
+                lo = hi
+        seen = seen[:, np.lexsort((seen[2], seen[0]))]
+        heads = np.flatnonzero(np.append(True, seen[0, 1:] != seen[0, :-1])[: seen.shape[1]])
+        docs, tails = seen[0, heads].tolist(), np.append(heads[1:], seen.shape[1])
+        held = [chains.get(d, []) for d in docs]
+        found = [part for own in held for _, part in own]
+        flat = np.concatenate([*found, np.zeros((0, 2), np.int64)])
         values = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32))], fields=list(pair))
-        offsets = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc", "other", "matches"])
+        matches = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)), values)
+        rows = pa.StructArray.from_arrays([pa.array([o for own in held for o, _ in own], pa.int64()), matches], ["other", "matches"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)), rows)
+        places = [seen[[2, 1, 3], a:z] for a, z in zip(heads.tolist(), tails.tolist(), strict=True)]
+        wanted = pa.array([bool((p[2] == -4).any()) for p in places], pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists, wanted, pa.array([p.shape[1] for p in places], pa.int32()), pa.array([squeeze(list(p)) for p in places], pa.binary())], names=["doc", "chains", "open", "n", "seen"])
 
 
 # Alignment
@@ -317,8 +351,8 @@ def equal_words(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s: Settings) -> tuple[int, int, int, int, int]:
-    """Range in the text, range in the first text, and equal words, for slices that begin at words x0 and y0.
+def inner(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s: Settings) -> tuple[int, int, int, int, int]:
+    """Range in the text, range in the first text, and equal words, from the first match to the last, for slices that begin at words x0 and y0.
 
     Matches whose words differ, for all their hashes, are left out; without any other the range is empty.
     """
@@ -336,6 +370,12 @@ def align(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s
         else:
             same += equal_words(x[hi_a:na], y[hi_b:nb]) + s.k
         hi_a, hi_b = na + s.k, nb + s.k
+    return x0 + lo_a, x0 + hi_a, y0 + lo_b, y0 + hi_b, same
+
+
+def extended(x: np.ndarray, y: np.ndarray, found: tuple[int, int, int, int, int], x0: int, y0: int, s: Settings) -> tuple[int, int, int, int, int]:
+    """What inner() gives with the ends moved outward."""
+    lo_a, hi_a, lo_b, hi_b, same = found[0] - x0, found[1] - x0, found[2] - y0, found[3] - y0, found[4]
     n = min(s.reach, lo_a, lo_b)
     left = outward(x[lo_a - n : lo_a][::-1], y[lo_b - n : lo_b][::-1])
     n = min(s.reach, len(x) - hi_a, len(y) - hi_b)
@@ -344,6 +384,31 @@ def align(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s
     return x0 + lo_a - left, x0 + hi_a + right, y0 + lo_b - left, y0 + hi_b + right, same
 
 
+def align(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s: Settings) -> tuple[int, int, int, int, int]:
+    """Range in the text, range in the first text, and equal words, ends included; empty without a match whose words are equal."""
+    found = inner(x, y, matches, x0, y0, s)
+    return extended(x, y, found, x0, y0, s) if found[4] else found
+
+
+def agreed(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s: Settings) -> list[tuple[int, int, int, int, int]]:
+    """The passage of a chain that agrees from its first to its last match, with its ends if it still does; of one that does not, those of its parts before and after the widest gap."""
+    agrees = lambda f: f[4] >= s.identity * max(f[1] - f[0], f[3] - f[2])
+    out, todo = [], [matches]
+    while todo:
+        m = todo.pop()
+        found = inner(x, y, m, x0, y0, s)
+        if not found[4]:
+            continue
+        if agrees(found):
+            wide = extended(x, y, found, x0, y0, s)
+            out.append(wide if agrees(wide) else found)
+            continue
+        steps = np.diff(m, axis=0)
+        at = int((steps.max(axis=1) + np.abs(steps[:, 0] - steps[:, 1])).argmax()) + 1
+        todo += [m[:at], m[at:]]
+    return out
+
+
 def packed(text):
     """A text column compressed, which shortens what the joins shuffle; a null counts as empty."""
 
@@ -393,23 +458,200 @@ def _align(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
             if last is None or last[0] != other:
                 last = other, word_hashes(batch.column(5)[i].as_py())
             matches = np.array([(m["a"], m["b"]) for m in batch.column(2)[i].as_py()], np.int64)
-            found = align(np.frombuffer(batch.column(4)[i].as_py(), np.uint64), last[1], matches, batch.column(3)[i].as_py(), 0, s)
-            if found[4] and found[4] >= s.identity * max(found[1] - found[0], found[3] - found[2]):
-                out.append((batch.column(0)[i].as_py(), found[0], found[1], other, *found[2:]))
+            found = agreed(np.frombuffer(batch.column(4)[i].as_py(), np.uint64), last[1], matches, batch.column(3)[i].as_py(), 0, s)
+            out += [(batch.column(0)[i].as_py(), f[0], f[1], other, *f[2:]) for f in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names=names)
 
 
-def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """doc, start, end, other, other_start, other_end, same: aligned passages of each text in those that have their seeds first, and last before it."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
+# The other pairs
+
+
+#: Bits of the filter of wanted keys; it goes to all tasks, and only saves work.
+BITS = 27
+#: Kinds of wanted keys: two seeds, a seed before, a seed after.
+BOTH, BEFORE, AFTER = 0, 1, 2
+
+
+def key(kind: int, a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """A hash of a seed or of two in order."""
+    h = textops.mix(a.view(np.uint64) * np.uint64(4) + np.uint64(kind))
+    return (h if b is None else textops.mix(h + b.view(np.uint64))).view(np.int64)
+
+
+def near(at: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one of i and one of j, rising numbers of places, whose place lies after it by at most `most`."""
+    lo, hi = np.searchsorted(at[j], at[i], "right"), np.searchsorted(at[j], at[i] + most, "right")
+    n = hi - lo
+    return np.repeat(i, n), j[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+
+
+def room(at: np.ndarray, s: Settings) -> np.ndarray:
+    """For each of rising places the words from the first to the last one that a chain can reach from it."""
+    new = np.append(True, np.diff(at) > s.reach + s.k)[: len(at)]
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(at)) - 1
+    return (at[tails] - at[heads] + s.k)[np.cumsum(new) - 1]
+
+
+def distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The different rows of some columns."""
+    return list(np.unique(np.stack(columns), axis=1))
+
+
+def wanted(at: np.ndarray, seed: np.ndarray, rank: np.ndarray, cover: np.ndarray, s: Settings) -> list[tuple[int, list[np.ndarray]]]:
+    """Kinds, and keys, words from seed to seed and room of seeds around words that no passage (rows start, end of `cover`) has, where either seed was not linked with all."""
+    had = rank < -1
+    at, seed, rank = at[had], seed[had], rank[had]
+    size = room(at, s)
+    cover = cover[np.argsort(cover[:, 0], kind="stable")]
+    reached = np.maximum.accumulate(cover[:, 1])[:-1]
+    out = []
+    for g in np.flatnonzero((cover[1:, 0] > reached) & (cover[1:, 0] - reached <= s.reach)).tolist():
+        lo, hi = int(reached[g]), int(cover[g + 1, 0])
+        i, j = near(at, np.flatnonzero((at + s.k <= lo) & (at >= hi - s.reach - s.k)), np.flatnonzero((at >= hi) & (at <= lo + s.reach)), s.reach + s.k)
+        some = (rank[i] == -4) | (rank[j] == -4)
+        i, j = i[some], j[some]
+        if len(i):
+            out.append((BOTH, distinct(key(BOTH, seed[i], seed[j]), at[j] - at[i], size[i])))
+            for kind, one in ((BEFORE, np.unique(i)), (AFTER, np.unique(j))):
+                out.append((kind, distinct(key(kind, seed[one]), 0 * at[one], 0 * at[one])))
+    return out
+
+
+@textops.tidy
+def _wanted(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, n, seen, cover): doc, kind, key, step, room."""
+    for batch in batches:
+        docs, kinds, rows = [], [], []
+        for doc, n, seen, cover in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, found in wanted(*loosen(seen, n), np.array([(c["start"], c["end"]) for c in cover], np.int64), s):
+                docs.append(np.full(len(found[0]), doc, np.int64))
+                kinds.append(np.full(len(found[0]), kind, np.int32))
+                rows.append(np.stack(found))
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(kinds)), *map(pa.array, np.concatenate(rows, axis=1))], names=["doc", "kind", "key", "step", "room"])
+
+
+SLICE = BITS - 5
+
+
+@textops.tidy
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys by slice: the bits of each slice, packed."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        bits = batch.column(0).to_numpy() & ((1 << BITS) - 1)
+        for part in np.unique(bits >> SLICE).tolist():
+            held.setdefault(part, np.zeros(1 << SLICE, bool))[bits[bits >> SLICE == part] & ((1 << SLICE) - 1)] = True
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(b).tobytes()) for b in held.values()], pa.binary())], names=["part", "bits"])
+
+
+@textops.tidy
+def _carriers(batches: Iterator[pa.RecordBatch], parts: dict[int, bytes], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, n, seen): other, key, step, room of any two of its seeds that may be wanted."""
+    bits = np.zeros((1 << BITS) // 8, np.uint8)
+    for part, data in parts.items():
+        size = (1 << SLICE) // 8
+        bits[part * size : (part + 1) * size] = np.frombuffer(zstandard.decompress(data), np.uint8)
+
+    def may(keys: np.ndarray) -> np.ndarray:
+        at = keys & ((1 << BITS) - 1)
+        return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+    for batch in batches:
+        docs, rows = [], []
+        for doc, n, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, seed, _ = loosen(seen, n)
+            i = np.flatnonzero(may(key(BEFORE, seed)))
+            if not len(i):
+                continue
+            i, j = near(at, i, np.flatnonzero(may(key(AFTER, seed))), s.reach + s.k)
+            both = key(BOTH, seed[i], seed[j])
+            kept = may(both)
+            found = distinct(both[kept], (at[j] - at[i])[kept], room(at, s)[i[kept]])
+            docs.append(np.full(len(found[0]), doc, np.int64))
+            rows.append(np.stack(found))
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), *map(pa.array, np.concatenate(rows, axis=1))], names=["other", "key", "other_step", "other_room"])
+
+
+@textops.tidy
+def _pairs(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, other, text, other text): passages of the whole pair."""
+    names = ["doc", "start", "end", "other", "other_start", "other_end", "same"]
+    last: tuple[int, np.ndarray] | None = None
+    known: dict[bytes, np.ndarray] = {}
+    for batch in batches:
+        out = []
+        for doc, other, text, first in zip(*batch.columns, strict=True):
+            doc, other = doc.as_py(), other.as_py()
+            if last is None or last[0] != other:
+                last = other, word_hashes(first.as_py())
+            text = text.as_py()
+            if text not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[text] = word_hashes(text)
+            x, y = known[text], last[1]
+            mine, theirs = (textops.windows(h, s.k) & SEED if len(h) >= s.k else np.zeros(0, np.uint64) for h in (x, y))
+            a, b = np.flatnonzero(np.isin(mine, theirs)), np.flatnonzero(np.isin(theirs, mine))
+            m = links(np.append(theirs[b], mine[a]), np.append(np.zeros(len(b), np.int64), np.ones(len(a), np.int64)), np.append(b, a)).T
+            if not len(m):
+                continue
+            for part in paths(thinned(m[np.lexsort((m[:, 3], m[:, 2]))], s.k), s):
+                out += [(doc, f[0], f[1], other, *f[2:]) for f in agreed(x, y, part, 0, 0, s)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names=names)
+
+
+PASSAGES = "doc bigint, start bigint, end bigint, other bigint, other_start bigint, other_end bigint, same bigint"
+
+
+def other_pairs(chains: DataFrame, found: DataFrame, texts: DataFrame, s: Settings) -> DataFrame | None:
+    """Passages of the texts that have two seeds around words that no passage has; None if there are no such words."""
+    cover = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
+    keys = cut(chains.where("open").select("doc", "n", "seen").join(cover, "doc").mapInArrow(lambda it: _wanted(it, s), "doc bigint, kind int, key bigint, step bigint, room bigint"))
+    place = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)), SLICE)
+    parts: dict[int, bytes] = {}
+    for r in keys.select("key").distinct().repartition(32, place).mapInArrow(_bits, "part int, bits binary").collect():
+        parts[r["part"]] = bytes(r["bits"])
+    if not parts:
+        return None
+    held = found.sparkSession.sparkContext.broadcast(parts)
+    carriers = chains.select("doc", "n", "seen").mapInArrow(lambda it: _carriers(it, held.value, s), "other bigint, key bigint, other_step bigint, other_room bigint")
+    # An agreeing chain has at most as many equal words as either room, and a step that is longer in one text leaves the
+    # difference unequal there.
+    most = (1 / s.identity - 1) * F.least("room", "other_room")
+    apart_by = F.abs(F.col("step") - F.col("other_step"))
+    pairs = keys.where(F.col("kind") == BOTH).drop("kind").join(carriers, "key").where((F.col("other") < F.col("doc")) & (apart_by <= most)).select("doc", "other").distinct()
+    both = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("other"), F.col("text").alias("first_text")), "other")
+    return both.select("doc", "other", "text", "first_text").mapInArrow(lambda it: _pairs(it, s), PASSAGES)
+
+
+def all_chains(rows: DataFrame, s: Settings) -> DataFrame:
+    """CHAINS of the texts (doc, text); what they are made of is not kept."""
     seeds = rows.mapInArrow(lambda it: _seeds(it, s), DEALT)
     matches = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, DEALT)
-    chains = matches.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _chains(it, s), CHAINS)
-    chains = cut(chains.groupBy("doc").agg(F.collect_list(F.struct("other", "matches")).alias("chains")))
-    texts = rows.select("doc", packed("text").alias("text"))
-    sliced = chains.join(texts, "doc").select("doc", "chains", "text").mapInArrow(lambda it: _slices(it, s), "doc bigint, other bigint, matches array<struct<a:int,b:int>>, begin int, words binary")
+    return cut(matches.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _chains(it, s), CHAINS))
+
+
+def first_passages(chains: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """PASSAGES of the chains of CHAINS."""
+    sliced = chains.where(F.size("chains") > 0).select("doc", "chains").join(texts, "doc").mapInArrow(lambda it: _slices(it, s), "doc bigint, other bigint, matches array<struct<a:int,b:int>>, begin int, words binary")
     both = sliced.join(texts.select(F.col("doc").alias("other"), F.col("text").alias("first_text")), "other").select("doc", "other", "matches", "begin", "words", "first_text")
-    return both.mapInArrow(lambda it: _align(it, s), "doc bigint, start bigint, end bigint, other bigint, other_start bigint, other_end bigint, same bigint")
+    return cut(both.mapInArrow(lambda it: _align(it, s), PASSAGES))
+
+
+def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
+    """doc, start, end, other, other_start, other_end, same: aligned passages of each text in those that have their seeds first, and last before it, and in all that may add words to these."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
+    chains = all_chains(rows, s)
+    forget(rows)
+    texts = rows.select("doc", packed("text").alias("text"))
+    found = first_passages(chains, texts, s)
+    forget(rows)
+    more = other_pairs(chains, found, texts, s)
+    return found if more is None else found.unionByName(more)
 
 
 def united(passages: DataFrame, min_words: int) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +25,22 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def forget(frame: DataFrame) -> None:
-    """Lets Spark remove the shuffles of frames that nothing names any more, before the next ones are written.
+#: Has Spark remove the shuffles of a query as soon as it has ended.
+CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    It does so when the JVM's collector has found them. What Python has dropped is told with the next calls, hence
-    several; that they do not all succeed at once costs room, not rows.
-    """
-    gc.collect()
-    for _ in range(3):
-        frame.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+
+def cut_clear(frame: DataFrame) -> DataFrame:
+    """cut(); the shuffles that made the rows are removed then and there, not when the JVM's collector finds them."""
+    conf = frame.sparkSession.conf
+    was = conf.get(CLEAR, None)
+    conf.set(CLEAR, "true")
+    try:
+        return cut(frame.select("*"))  # a query takes the setting when it is made
+    finally:
+        if was is None:
+            conf.unset(CLEAR)
+        else:
+            conf.set(CLEAR, was)
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:

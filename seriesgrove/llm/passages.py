@@ -44,12 +44,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesgrove.llm import textops
-from seriesgrove.llm.lineage import cut, forget
+from seriesgrove.llm.lineage import cut_clear
 
 
 @dataclass(frozen=True)
@@ -86,52 +87,106 @@ HELD = 1 << 21
 DEALT = "bucket int, n int, seeds binary, rest binary"
 
 
-def squeeze(columns: list[np.ndarray]) -> bytes:
-    """Columns of 64-bit integers as differences, by planes of bytes, compressed."""
-    planes = []
-    for c in columns:
-        d = np.diff(c, prepend=0)
-        planes.append(((d << 1) ^ (d >> 63)).view(np.uint8).reshape(-1, 8).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+_squeeze, _loosen = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def order(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by the first column, then by the next: one sort of whole numbers where the columns fit in 63 bits together. Equal rows come in any order."""
+    if len(columns[0]) < 512:
+        return np.lexsort(columns[::-1])
+    low, high = [int(c.min()) for c in columns], [int(c.max()) for c in columns]
+    if sum((h - v).bit_length() for v, h in zip(low, high, strict=True)) > 63:
+        columns = tuple(np.unique(c, return_inverse=True)[1] for c in columns)
+        low, high = [0] * len(columns), [int(c.max()) for c in columns]
+    bits = [(h - v).bit_length() for v, h in zip(low, high, strict=True)]
+    if sum(bits) > 63:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, v, n in zip(columns, low, bits, strict=True):
+        key = (key << n) | (c - c.dtype.type(v)).astype(np.int64)
+    return np.argsort(key)
 
 
-def loosen(data: bytes, n: int) -> np.ndarray:
-    """The columns that squeeze() was given, as rows of an array."""
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, 8, n)
-    d = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[..., 0]
-    return np.cumsum((d >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(d & 1), axis=1)
+def planes(columns: list[np.ndarray], heads: np.ndarray) -> np.ndarray:
+    """Columns of 64-bit integers as differences, begun anew at each head, by planes of bytes, as many as are not all 0."""
+    found = []
+    for c in columns:
+        d = np.empty_like(c)
+        np.subtract(c[1:], c[:-1], out=d[1:])
+        d[heads] = c[heads]
+        found.append(((d << 1) ^ (d >> 63)).view(np.uint64))
+    n = max(1, *((int(d.max(initial=0)).bit_length() + 7) // 8 for d in found))
+    return np.stack([d.view(np.uint8).reshape(-1, 8)[:, :n].T for d in found])
+
+
+def pieces(found: np.ndarray, spans: list[tuple[int, int]]) -> list[bytes]:
+    """Ranges of rows of planes(), each from a head to the next, compressed after a byte that tells how many planes there are."""
+    lead = bytes([found.shape[1]])
+    return [lead + _squeeze(found[:, :, a:z].tobytes()) for a, z in spans]
+
+
+def spread(data: bytes, n: int) -> np.ndarray:
+    """The planes of one of pieces(), of n rows."""
+    return np.frombuffer(_loosen(data[1:]), np.uint8).reshape(-1, data[0], n)
+
+
+def joined(found: list[np.ndarray]) -> np.ndarray:
+    """The columns that planes() was given, piece after piece, as rows of an array."""
+    ends = np.cumsum([x.shape[2] for x in found])
+    wide = np.zeros((len(found[0]), ends[-1], 8), np.uint8)
+    for x, z in zip(found, ends.tolist(), strict=True):
+        wide[:, z - x.shape[2] : z, : x.shape[1]] = x.transpose(0, 2, 1)
+    d = wide.view(np.int64)[..., 0]
+    d = (d >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(d & 1)
+    out = np.cumsum(d, axis=1)
+    if len(found) > 1:
+        heads = np.append(0, ends[:-1])
+        out -= np.repeat(out[:, heads] - d[:, heads], ends - heads, axis=1)
+    return out
 
 
 def deal(bucket: np.ndarray, columns: list[np.ndarray], seeds: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of DEALT: the columns by bucket, in their order. Seeds are without their first byte, which the bucket tells, and by planes of bytes."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    raw = None if seeds is None else seeds[order].view(np.uint8).reshape(-1, 8)[:, :7]
-    cuts = np.append(0, np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))).tolist()
-    planes = zstandard.ZstdCompressor(level=1).compress  # the two bytes that no seed has take no room
+    """Rows of DEALT: the columns by bucket, in their order. Seeds are without their first byte, which the bucket tells, and by planes of bytes, without the last two where no seed has them."""
+    by = np.argsort(bucket.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
+    bucket = bucket[by]
+    cuts = np.append(0, np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)))
+    if seeds is not None:
+        low = 0 if (seeds & np.uint64(0xFFFF)).any() else 2
+        raw = np.ascontiguousarray(seeds[by].view(np.uint8).reshape(-1, 8)[:, low:7].T)
+    found = planes([c[by] for c in columns], cuts[:-1])
+    bucket, cuts = bucket[cuts[:-1]], cuts.tolist()
     for i in range(0, len(cuts) - 1, 512):
         spans = list(zip(cuts[i : i + 512], cuts[i + 1 : i + 513], strict=False))
-        own = [b"" if raw is None else planes(raw[a:z].T.tobytes()) for a, z in spans]
-        rest = [squeeze([c[a:z] for c in columns]) for a, z in spans]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in spans]], pa.int32()), pa.array([z - a for a, z in spans], pa.int32()), pa.array(own, pa.binary()), pa.array(rest, pa.binary())], names=["bucket", "n", "seeds", "rest"])
+        own = [b"" if seeds is None else _squeeze(raw[:, a:z].tobytes()) for a, z in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + 512], pa.int32()), pa.array([z - a for a, z in spans], pa.int32()), pa.array(own, pa.binary()), pa.array(pieces(found, spans), pa.binary())], names=["bucket", "n", "seeds", "rest"])
 
 
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
     """Rows of DEALT in order of bucket: seeds, if any, and columns of each bucket."""
     at, seeds, rest = None, [], []
+
+    def out() -> tuple[np.ndarray | None, np.ndarray]:
+        columns = joined(rest)
+        if not seeds:
+            return None, columns
+        wide, z = np.zeros((columns.shape[1], 8), np.uint8), 0
+        for x in seeds:
+            a, z = z, z + x.shape[1]
+            wide[a:z, 7 - len(x) : 7] = x.T
+        wide[:, 7] = at >> 4
+        return wide.view(np.uint64)[:, 0], columns
+
     for batch in batches:
         for bucket, n, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != at and rest:
-                yield np.concatenate(seeds) if seeds else None, np.concatenate(rest, axis=1)
+                yield out()
                 seeds, rest = [], []
             at = bucket
             if own:
-                wide = np.empty((n, 8), np.uint8)
-                wide[:, :7], wide[:, 7] = np.frombuffer(zstandard.decompress(own), np.uint8).reshape(7, n).T, bucket >> 4
-                seeds.append(wide.view(np.uint64)[:, 0])
-            rest.append(loosen(data, n))
+                seeds.append(np.frombuffer(_loosen(own), np.uint8).reshape(-1, n))
+            rest.append(spread(data, n))
     if rest:
-        yield np.concatenate(seeds) if seeds else None, np.concatenate(rest, axis=1)
+        yield out()
 
 
 @textops.tidy
@@ -166,13 +221,13 @@ def _seeds(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
 
 def linked(seeds: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links, and columns doc, seed (32 bits of it), at, rank of all places of seeds that several texts have; rank is -1 for the text of the least id, then -2 and so on, not below -4."""
-    order = np.argsort(seeds)
-    s = seeds[order]
+    by = np.argsort(seeds)
+    s = seeds[by]
     same = s[1:] == s[:-1]
-    order = order[np.append(False, same) | np.append(same, False)]
-    seeds, docs, at = seeds[order], docs[order], at[order]
-    order = np.lexsort((at, docs, seeds))
-    seeds, docs, at = seeds[order], docs[order], at[order]
+    by = by[np.append(False, same) | np.append(same, False)]
+    seeds, docs, at = seeds[by], docs[by], at[by]
+    by = order(np.cumsum(np.append(0, seeds[1:] != seeds[:-1])[: len(seeds)]), docs, at)
+    seeds, docs, at = seeds[by], docs[by], at[by]
     fresh = np.append(True, seeds[1:] != seeds[:-1])[: len(seeds)]
     heads = np.flatnonzero(fresh | np.append(True, docs[1:] != docs[:-1])[: len(seeds)])  # first places of a seed in each text
     times = np.diff(np.append(heads, len(seeds)))
@@ -200,9 +255,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, seen, size = [], [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for parts, keys in ((held, (3, 2, 1, 0)), (seen, (2, 0))):
+        for parts, keys in ((held, (0, 1, 2)), (seen, (0, 2))):
             m = np.concatenate(parts, axis=1)
-            m = np.ascontiguousarray(m[:, np.lexsort([m[i] for i in keys])])
+            m = m[:, order(*(m[i] for i in keys))]
             yield from deal((textops.mix(m[0].view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32), list(m))
 
     for seeds, (docs, at) in dealt(batches):
@@ -264,17 +319,18 @@ def chain(a: np.ndarray, b: np.ndarray, k: int, gap: float) -> list[np.ndarray]:
 
 def apart(rows: np.ndarray, most: int) -> list[np.ndarray]:
     """A chain cut where its matches lie more than `most` words apart in either text."""
-    return np.split(rows, np.flatnonzero((np.diff(rows[:, 2:], axis=0) > most).any(axis=1)) + 1)
+    wide = (rows[1:, 2:] - rows[:-1, 2:] > most).any(axis=1)
+    return np.split(rows, np.flatnonzero(wide) + 1) if wide.any() else [rows]
 
 
 def thinned(m: np.ndarray, k: int) -> np.ndarray:
     """Rows (doc, other, a, b) in order: of a run of matches that follow each other word by word, one in k and the last."""
-    order = np.lexsort((m[:, 2], m[:, 2] - m[:, 3], m[:, 1], m[:, 0]))
-    s = m[order]
+    by = order(m[:, 0], m[:, 1], m[:, 2] - m[:, 3], m[:, 2])
+    s = m[by]
     new = np.append(True, (np.diff(s, axis=0) != (0, 0, 1, 1)).any(axis=1))
     heads = np.flatnonzero(new)
     place = np.arange(len(s)) - np.repeat(heads, np.diff(np.append(heads, len(s))))
-    return m[np.sort(order[(place % k == 0) | np.append(new[1:], True)])]
+    return m[np.sort(by[(place % k == 0) | np.append(new[1:], True)])]
 
 
 def chained(a: np.ndarray, b: np.ndarray, k: int, gap: float) -> list[np.ndarray]:
@@ -290,6 +346,35 @@ def paths(own: np.ndarray, s: Settings) -> list[np.ndarray]:
     return [x[:, 2:] for path in chained(own[:, 2], own[:, 3], s.k, s.gap) for x in apart(own[path], s.reach + s.k)]
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole numbers from each start, so many as its size says."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def all_paths(m: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of links (doc, other, a, b) that are thinned and in order: doc, other and number of matches of each chain, in order of doc, and the matches. As paths() pair by pair; pairs of which each match may follow the one before are done together."""
+    steps = np.diff(m, axis=0)
+    fresh = np.append(True, (steps[:, :2] != 0).any(axis=1))
+    a, b = steps[:, 2], steps[:, 3]
+    pair = np.cumsum(fresh) - 1
+    hard = np.zeros(pair[-1] + 1, bool)
+    hard[pair[1:][~fresh[1:] & ~((a > 0) & (b > 0) & (s.gap * (a + b) < s.k))]] = True
+    plain = ~hard[pair]
+    new = fresh | np.append(True, (a > s.reach + s.k) | (b > s.reach + s.k))
+    rest = m[~plain]
+    cuts = np.append(np.flatnonzero(np.diff(pair[~plain])) + 1, len(rest)).tolist() if len(rest) else []
+    more = [(own[0, 0], own[0, 1], part) for lo, hi in zip([0, *cuts], cuts, strict=False) for own in [rest[lo:hi]] for part in paths(own, s)]
+    heads = np.flatnonzero(new[plain])
+    easy = m[plain]
+    sizes = np.append(np.diff(np.append(heads, len(easy)))[: len(heads)], [len(p) for *_, p in more]).astype(np.int64)
+    docs = np.append(easy[heads, 0], np.array([d for d, *_ in more], np.int64))
+    others = np.append(easy[heads, 1], np.array([o for _, o, _ in more], np.int64))
+    matches = np.concatenate([easy[:, 2:], *(p for *_, p in more)])
+    by = np.argsort(docs, kind="stable")
+    return docs[by], others[by], sizes[by], matches[ranges((np.cumsum(sizes) - sizes)[by], sizes[by])]
+
+
 CHAINS = "doc bigint, chains array<struct<other:bigint,matches:array<struct<a:int,b:int>>>>, open boolean, n int, seen binary"
 
 
@@ -298,31 +383,22 @@ def _chains(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
     """Links and places by the bucket of doc: a row for each text, with its chains, whether it was not linked with all who have its seeds, and its places (at, seed, rank)."""
     pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
     for _, columns in dealt(batches):
-        m, seen = columns[:, columns[3] >= 0].T, columns[:, columns[3] < 0]
-        chains: dict[int, list[tuple[int, np.ndarray]]] = {}
-        if len(m):
-            m = m[np.lexsort((m[:, 3], m[:, 2], m[:, 1], m[:, 0]))]
+        m, seen = columns[:, columns[3] >= 0], columns[:, columns[3] < 0]
+        owners, others, sizes, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        if m.shape[1]:
+            m = m[:, order(*m)].T
             m = thinned(m[np.append(True, (m[1:] != m[:-1]).any(axis=1))], s.k)  # rows may repeat
-            cuts = np.append(np.flatnonzero((m[1:, :2] != m[:-1, :2]).any(axis=1)) + 1, len(m))
-            lo = 0
-            for hi in cuts.tolist():
-                own = m[lo:hi]
-                for part in paths(own, s):
-                    chains.setdefault(int(own[0, 0]), []).append((int(own[0, 1]), part))
-                lo = hi
-        seen = seen[:, np.lexsort((seen[2], seen[0]))]
+            owners, others, sizes, flat = all_paths(m, s)
+        seen = seen[:, order(seen[0], seen[2])]
         heads = np.flatnonzero(np.append(True, seen[0, 1:] != seen[0, :-1])[: seen.shape[1]])
-        docs, tails = seen[0, heads].tolist(), np.append(heads[1:], seen.shape[1])
-        held = [chains.get(d, []) for d in docs]
-        found = [part for own in held for _, part in own]
-        flat = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        docs, tails = seen[0, heads], np.append(heads[1:], seen.shape[1])
         values = pa.StructArray.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32))], fields=list(pair))
-        matches = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)), values)
-        rows = pa.StructArray.from_arrays([pa.array([o for own in held for o, _ in own], pa.int64()), matches], ["other", "matches"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in held])).astype(np.int32)), rows)
-        places = [seen[[2, 1, 3], a:z] for a, z in zip(heads.tolist(), tails.tolist(), strict=True)]
-        wanted = pa.array([bool((p[2] == -4).any()) for p in places], pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists, wanted, pa.array([p.shape[1] for p in places], pa.int32()), pa.array([squeeze(list(p)) for p in places], pa.binary())], names=["doc", "chains", "open", "n", "seen"])
+        matches = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+        rows = pa.StructArray.from_arrays([pa.array(others, pa.int64()), matches], ["other", "matches"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(owners, docs), len(owners)).astype(np.int32)), rows)
+        places = pieces(planes([seen[2], seen[1], seen[3]], heads), list(zip(heads.tolist(), tails.tolist(), strict=True)))
+        wanted = pa.array(np.minimum.reduceat(seen[3], heads) == -4)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists, wanted, pa.array(tails - heads, pa.int32()), pa.array(places, pa.binary())], names=["doc", "chains", "open", "n", "seen"])
 
 
 # Alignment
@@ -330,8 +406,8 @@ def _chains(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
 def outward(x: np.ndarray, y: np.ndarray) -> int:
     """How far two arrays of equal length agree from their beginning, a mismatch costing twice what a match gains, up to a fall of 8."""
-    if not len(x):
-        return 0
+    if not (x[:5] == y[:5]).any():
+        return 0  # five mismatches are too far a fall
     score = np.cumsum(np.where(x == y, 1, -2))
     top = np.maximum.accumulate(np.maximum(score, 0))
     stop = np.flatnonzero(top - score > 8)
@@ -340,15 +416,22 @@ def outward(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def equal_words(x: np.ndarray, y: np.ndarray) -> int:
-    """The length of a longest common subsequence, as edit distance without replacement gives it."""
+    """The length of a longest common subsequence, as edit distance without replacement gives it.
+
+    A row of the table of lengths is a number with a bit for each word of y: 0 where the length grows (Hyyro, 2004).
+    """
     if len(x) == len(y) and np.array_equal(x, y):
         return len(x)
-    row = np.zeros(len(y) + 1, np.int64)
-    for v in x:
-        hit = row[:-1] + (y == v)
-        new = np.maximum(row[1:], hit)
-        row[1:] = np.maximum.accumulate(new)
-    return int(row[-1])
+    at: dict[int, int] = {}
+    for i, v in enumerate(y.tolist()):
+        at[v] = at.get(v, 0) | 1 << i
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x.tolist():
+        if v in at:
+            hit = row & at[v]
+            row = (row + hit | row - hit) & full
+    return len(y) - row.bit_count()
 
 
 def inner(x: np.ndarray, y: np.ndarray, matches: np.ndarray, x0: int, y0: int, s: Settings) -> tuple[int, int, int, int, int]:
@@ -420,47 +503,135 @@ def packed(text):
     return run(F.col(text))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """The words of a packed text."""
-    text = zstandard.decompress(data).decode()
-    for b in textops.blocks(pa.array([text], pa.string())):
-        starts, ends, _ = b.words()
-        return textops.hash_words(b.data, starts, ends)
-    return np.zeros(0, np.uint64)
+#: Bytes of packed texts whose words are held at once, or one text.
+TEXTS = 1 << 21
+
+
+def words_of(data: list[bytes]) -> list[np.ndarray]:
+    """The words of packed texts."""
+    out = []
+    for b in textops.blocks(pa.array([_loosen(x) for x in data], pa.large_binary()).cast(pa.large_string())):
+        starts, ends, first = b.words()
+        out += np.split(textops.hash_words(b.data, starts, ends), first[1:-1])
+    return out
+
+
+def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so much together, or of one row."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held + n > most and i > lo:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def unnested(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of lists of structs: how many each has, and the fields of all."""
+    offsets = lists.offsets.to_numpy()
+    return np.diff(offsets), lists.flatten().flatten()
 
 
 @textops.tidy
 def _slices(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Rows (doc, chains, text): each chain with the words around it."""
     for batch in batches:
-        docs, others, matches, begins, words = [], [], [], [], []
-        for i in range(batch.num_rows):
-            h = word_hashes(batch.column(2)[i].as_py())
-            for c in batch.column(1)[i].as_py():
-                lo, hi = max(0, c["matches"][0]["a"] - s.reach), min(len(h), c["matches"][-1]["a"] + s.k + s.reach)
-                docs.append(batch.column(0)[i].as_py())
-                others.append(c["other"])
-                matches.append(c["matches"])
-                begins.append(lo)
-                words.append(h[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(others, pa.int64()), pa.array(matches, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(begins, pa.int32()), pa.array(words, pa.binary())], names=["doc", "other", "matches", "begin", "words"])
+        texts = batch.column(2).to_pylist()
+        for lo, hi in portions([len(t) for t in texts], TEXTS):
+            own = words_of(texts[lo:hi])
+            many, (others, matches) = unnested(batch.column(1)[lo:hi])
+            sizes, (a, _) = unnested(matches)
+            ends, a = np.cumsum(sizes), a.to_numpy()
+            begin, end = np.maximum(0, a[ends - sizes] - s.reach), a[ends - 1] + s.k + s.reach
+            of = np.repeat(np.arange(hi - lo), many)
+            words = [own[i][x:y].tobytes() for i, x, y in zip(of.tolist(), begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(of)), others, matches, pa.array(begin, pa.int32()), pa.array(words, pa.binary())], names=["doc", "other", "matches", "begin", "words"])
+
+
+def outward_all(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """outward() of n words of x and of y from each i and j in the direction `step`, and how many of the words are equal."""
+    far, same = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+
+    def equal(rows: np.ndarray, most: int) -> np.ndarray:
+        places = np.arange(min(most, int(n[rows].max(initial=0))))
+        inside = places < n[rows, None]
+        at = np.where(inside, places * step, 0)
+        return inside & (x[np.where(inside, i[rows, None] + at, 0)] == y[np.where(inside, j[rows, None] + at, 0)])
+
+    if len(x) and len(y):
+        rows = np.flatnonzero(equal(np.arange(len(i)), 5).any(axis=1))  # else five mismatches are too far a fall
+        if len(rows):
+            hit = equal(rows, s.reach)
+            score = np.cumsum(np.where(hit, 1, -2), axis=1)
+            top = np.maximum.accumulate(np.maximum(score, 0), axis=1)
+            gone = np.logical_or.accumulate((top - score > 8) | (np.arange(hit.shape[1]) >= n[rows, None]), axis=1)
+            score[gone] = -9
+            at = score.argmax(axis=1)
+            far[rows] = np.where(score[np.arange(len(rows)), at] > 0, at + 1, 0)
+            same[rows] = (hit & (np.arange(hit.shape[1]) < far[rows, None])).sum(axis=1)
+    return far, same
+
+
+def agreed_all(x: np.ndarray, y: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray, spans: tuple[np.ndarray, ...], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of matches (of, a, b), all in order of the chain `of`, in words x and y of which a chain has from x0 to x1 and from y0 to y1: whether agreed() takes a chain whole, its passage (lo_a, hi_a, lo_b, hi_b in x and y) and equal words."""
+    x0, x1, y0, y1 = spans
+    k = np.arange(s.k)
+    whole = np.ones(len(x0), bool)
+    whole[of[(x[a[:, None] + k] != y[b[:, None] + k]).any(axis=1)]] = False
+    heads = np.flatnonzero(np.append(True, np.diff(of) > 0))
+    tails = np.append(heads[1:], len(of)) - 1
+    lo_a, hi_a, lo_b, hi_b = a[heads], a[tails] + s.k, b[heads], b[tails] + s.k
+    inside = of[1:] == of[:-1]
+    da, db = np.diff(a), np.diff(b)
+    gain = np.where(inside, np.maximum(0, np.minimum(da, db)), 0)
+    for i in np.flatnonzero(inside & (da > s.k) & (db > s.k)).tolist():
+        gain[i] = s.k + equal_words(x[a[i] + s.k : a[i + 1]], y[b[i] + s.k : b[i + 1]])
+    same = s.k + np.bincount(of[1:], gain, len(x0)).astype(np.int64)
+    agrees = lambda same, n, m: same >= s.identity * np.maximum(n, m)
+    whole &= agrees(same, hi_a - lo_a, hi_b - lo_b)
+    left, more = outward_all(x, y, lo_a - 1, lo_b - 1, np.minimum(s.reach, np.minimum(lo_a - x0, lo_b - y0)), -1, s)
+    right, again = outward_all(x, y, hi_a, hi_b, np.minimum(s.reach, np.minimum(x1 - hi_a, y1 - hi_b)), 1, s)
+    wide = agrees(same + more + again, hi_a - lo_a + left + right, hi_b - lo_b + left + right)
+    left, right, more = (np.where(wide, v, 0) for v in (left, right, more + again))
+    return whole, np.stack([lo_a - left, hi_a + right, lo_b - left, hi_b + right]), same + more
+
+
+def passages_in(x: np.ndarray, y: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray, spans: tuple[np.ndarray, ...], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The chain, and lo_a, hi_a, lo_b, hi_b, equal words of all passages that agreed() gives for the chains of agreed_all()."""
+    whole, places, same = agreed_all(x, y, of, a, b, spans, s)
+    chains, found = np.flatnonzero(whole), np.append(places, [same], axis=0)[:, whole]
+    cuts, owners, more = np.searchsorted(of, np.arange(len(whole) + 1)).tolist(), [], []
+    for i in np.flatnonzero(~whole).tolist():
+        x0, x1, y0, y1 = (int(v[i]) for v in spans)
+        m = np.stack([a[cuts[i] : cuts[i + 1]] - x0, b[cuts[i] : cuts[i + 1]] - y0], axis=1)
+        own = agreed(x[x0:x1], y[y0:y1], m, 0, 0, s)
+        more += [(f[0] + x0, f[1] + x0, f[2] + y0, f[3] + y0, f[4]) for f in own]
+        owners += [i] * len(own)
+    return np.append(chains, np.array(owners, np.int64)), np.append(found, np.array(more, np.int64).reshape(-1, 5).T, axis=1)
 
 
 @textops.tidy
 def _align(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Rows (doc, other, matches, begin, words, first text): passages."""
     names = ["doc", "start", "end", "other", "other_start", "other_end", "same"]
-    last: tuple[int, np.ndarray] | None = None
     for batch in batches:
-        out = []
-        for i in range(batch.num_rows):
-            other = batch.column(1)[i].as_py()
-            if last is None or last[0] != other:
-                last = other, word_hashes(batch.column(5)[i].as_py())
-            matches = np.array([(m["a"], m["b"]) for m in batch.column(2)[i].as_py()], np.int64)
-            found = agreed(np.frombuffer(batch.column(4)[i].as_py(), np.uint64), last[1], matches, batch.column(3)[i].as_py(), 0, s)
-            out += [(batch.column(0)[i].as_py(), f[0], f[1], other, *f[2:]) for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names=names)
+        firsts = batch.column(5)
+        fresh = np.append(True, pc.not_equal(firsts[1:], firsts[:-1]).to_numpy(zero_copy_only=False))[: len(firsts)]
+        for lo, hi in portions((pc.binary_length(batch.column(4)).to_numpy() + np.where(fresh, pc.binary_length(firsts).to_numpy(), 0)).tolist(), 2 * TEXTS):
+            part, own = batch.slice(lo, hi - lo), fresh[lo:hi].copy()
+            own[0] = True
+            texts = words_of([part.column(5)[i].as_py() for i in np.flatnonzero(own).tolist()])
+            y, y_at, which = np.concatenate(texts), np.cumsum([0, *map(len, texts)]), np.cumsum(own) - 1
+            x = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64)
+            x_at = np.cumsum(np.append(0, pc.binary_length(part.column(4)).to_numpy() // 8))
+            many, (a, b) = unnested(part.column(2))
+            of, from_x, from_y = np.repeat(np.arange(hi - lo), many), x_at[:-1] - part.column(3).to_numpy(), y_at[which]
+            chains, (start, end, other_start, other_end, same) = passages_in(x, y, of, a.to_numpy() + from_x[of], b.to_numpy() + from_y[of], (x_at[:-1], x_at[1:], from_y, y_at[which + 1]), s)
+            from_x, from_y = from_x[chains], from_y[chains]
+            docs, others = (c.take(pa.array(chains)) for c in part.columns[:2])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(start - from_x), pa.array(end - from_x), others, pa.array(other_start - from_y), pa.array(other_end - from_y), pa.array(same)], names=names)
 
 
 # The other pairs
@@ -495,7 +666,9 @@ def room(at: np.ndarray, s: Settings) -> np.ndarray:
 
 def distinct(*columns: np.ndarray) -> list[np.ndarray]:
     """The different rows of some columns."""
-    return list(np.unique(np.stack(columns), axis=1))
+    m = np.stack(columns)
+    m = m[:, order(*m)]
+    return list(m[:, np.append(True, (m[:, 1:] != m[:, :-1]).any(axis=0))[: m.shape[1]]])
 
 
 def wanted(at: np.ndarray, seed: np.ndarray, rank: np.ndarray, cover: np.ndarray, s: Settings) -> list[tuple[int, list[np.ndarray]]]:
@@ -524,7 +697,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
     for batch in batches:
         docs, kinds, rows = [], [], []
         for doc, n, seen, cover in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for kind, found in wanted(*loosen(seen, n), np.array([(c["start"], c["end"]) for c in cover], np.int64), s):
+            for kind, found in wanted(*joined([spread(seen, n)]), np.array([(c["start"], c["end"]) for c in cover], np.int64), s):
                 docs.append(np.full(len(found[0]), doc, np.int64))
                 kinds.append(np.full(len(found[0]), kind, np.int32))
                 rows.append(np.stack(found))
@@ -560,48 +733,65 @@ def _carriers(batches: Iterator[pa.RecordBatch], parts: dict[int, bytes], s: Set
         return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
 
     for batch in batches:
-        docs, rows = [], []
-        for doc, n, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at, seed, _ = loosen(seen, n)
-            i = np.flatnonzero(may(key(BEFORE, seed)))
-            if not len(i):
-                continue
-            i, j = near(at, i, np.flatnonzero(may(key(AFTER, seed))), s.reach + s.k)
+        sizes = batch.column(1).to_pylist()
+        for lo, hi in portions(sizes, HELD >> 2):
+            found = [spread(x, n) for x, n in zip(batch.column(2)[lo:hi].to_pylist(), sizes[lo:hi], strict=True)]
+            at, seed, _ = joined(found)
+            of = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            far = at + of * (int(at.max()) + 2 * (s.reach + s.k))  # places of different texts are never near
+            i, j = near(far, np.flatnonzero(may(key(BEFORE, seed))), np.flatnonzero(may(key(AFTER, seed))), s.reach + s.k)
             both = key(BOTH, seed[i], seed[j])
             kept = may(both)
-            found = distinct(both[kept], (at[j] - at[i])[kept], room(at, s)[i[kept]])
-            docs.append(np.full(len(found[0]), doc, np.int64))
-            rows.append(np.stack(found))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), *map(pa.array, np.concatenate(rows, axis=1))], names=["other", "key", "other_step", "other_room"])
+            i, j, both = i[kept], j[kept], both[kept]
+            if len(i):
+                rows = distinct(of[i], both, at[j] - at[i], room(far, s)[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(rows[0])), *map(pa.array, rows[1:])], names=["other", "key", "other_step", "other_room"])
+
+
+def met(mine: np.ndarray, theirs: np.ndarray, known: dict, of: int) -> np.ndarray:
+    """Rows (a, b) of links() of the seeds of one text with those of another, which is number `of` of those whose sorted seeds are known."""
+    if of not in known:
+        by = np.argsort(theirs)
+        ranked = theirs[by]
+        known[of] = ranked, by, bool((ranked[1:] == ranked[:-1]).any())
+    ranked, by, repeated = known[of]
+    if not len(ranked):
+        return np.zeros((0, 2), np.int64)
+    at = np.searchsorted(ranked, mine)
+    a = np.flatnonzero(ranked[np.minimum(at, len(ranked) - 1)] == mine)
+    if not repeated or not len(a):
+        return np.stack([a, by[at[a]]], axis=1)
+    b = np.sort(by[np.isin(ranked, mine[a])])
+    m = links(np.append(theirs[b], mine[a]), np.append(np.zeros(len(b), np.int64), np.ones(len(a), np.int64)), np.append(b, a)).T[:, 2:]
+    return m[np.lexsort((m[:, 1], m[:, 0]))]
 
 
 @textops.tidy
 def _pairs(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Rows (doc, other, text, other text): passages of the whole pair."""
     names = ["doc", "start", "end", "other", "other_start", "other_end", "same"]
-    last: tuple[int, np.ndarray] | None = None
-    known: dict[bytes, np.ndarray] = {}
     for batch in batches:
-        out = []
-        for doc, other, text, first in zip(*batch.columns, strict=True):
-            doc, other = doc.as_py(), other.as_py()
-            if last is None or last[0] != other:
-                last = other, word_hashes(first.as_py())
-            text = text.as_py()
-            if text not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[text] = word_hashes(text)
-            x, y = known[text], last[1]
-            mine, theirs = (textops.windows(h, s.k) & SEED if len(h) >= s.k else np.zeros(0, np.uint64) for h in (x, y))
-            a, b = np.flatnonzero(np.isin(mine, theirs)), np.flatnonzero(np.isin(theirs, mine))
-            m = links(np.append(theirs[b], mine[a]), np.append(np.zeros(len(b), np.int64), np.ones(len(a), np.int64)), np.append(b, a)).T
-            if not len(m):
+        texts, firsts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for lo, hi in portions([len(t) + len(f) * (i == 0 or f != firsts[i - 1]) for i, (t, f) in enumerate(zip(texts, firsts, strict=True))], 2 * TEXTS):
+            number = {t: i for i, t in enumerate(dict.fromkeys(texts[lo:hi] + firsts[lo:hi]))}
+            words = words_of(list(number))
+            x, begin = np.concatenate(words), np.cumsum([0, *map(len, words)])
+            all_seeds = textops.windows(x, s.k) & SEED
+            seeds = [all_seeds[a : max(a, z - s.k + 1)] for a, z in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            i, j = (np.array([number[t] for t in own[lo:hi]], np.int64) for own in (texts, firsts))
+            known: dict[int, tuple[np.ndarray, np.ndarray, bool]] = {}
+            found = [met(seeds[p], seeds[q], known, q) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+            of = np.repeat(np.arange(hi - lo), [len(m) for m in found])
+            if not len(of):
                 continue
-            for part in paths(thinned(m[np.lexsort((m[:, 3], m[:, 2]))], s.k), s):
-                out += [(doc, f[0], f[1], other, *f[2:]) for f in agreed(x, y, part, 0, 0, s)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names=names)
+            m = np.concatenate(found)
+            owners, _, sizes, m = all_paths(thinned(np.stack([of, np.zeros(len(of), np.int64), m[:, 0], m[:, 1]], axis=1), s.k), s)
+            of = np.repeat(np.arange(len(owners)), sizes)
+            from_x, from_y = begin[i[owners]], begin[j[owners]]
+            chains, (start, end, other_start, other_end, same) = passages_in(x, x, of, m[:, 0] + from_x[of], m[:, 1] + from_y[of], (from_x, begin[i[owners] + 1], from_y, begin[j[owners] + 1]), s)
+            from_x, from_y = from_x[chains], from_y[chains]
+            docs, others = (c[lo:hi].take(pa.array(owners[chains])) for c in batch.columns[:2])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(start - from_x), pa.array(end - from_x), others, pa.array(other_start - from_y), pa.array(other_end - from_y), pa.array(same)], names=names)
 
 
 PASSAGES = "doc bigint, start bigint, end bigint, other bigint, other_start bigint, other_end bigint, same bigint"
@@ -610,7 +800,7 @@ PASSAGES = "doc bigint, start bigint, end bigint, other bigint, other_start bigi
 def other_pairs(chains: DataFrame, found: DataFrame, texts: DataFrame, s: Settings) -> DataFrame | None:
     """Passages of the texts that have two seeds around words that no passage has; None if there are no such words."""
     cover = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
-    keys = cut(chains.where("open").select("doc", "n", "seen").join(cover, "doc").mapInArrow(lambda it: _wanted(it, s), "doc bigint, kind int, key bigint, step bigint, room bigint"))
+    keys = cut_clear(chains.where("open").select("doc", "n", "seen").join(cover, "doc").mapInArrow(lambda it: _wanted(it, s), "doc bigint, kind int, key bigint, step bigint, room bigint"))
     place = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)), SLICE)
     parts: dict[int, bytes] = {}
     for r in keys.select("key").distinct().repartition(32, place).mapInArrow(_bits, "part int, bits binary").collect():
@@ -632,24 +822,22 @@ def all_chains(rows: DataFrame, s: Settings) -> DataFrame:
     """CHAINS of the texts (doc, text); what they are made of is not kept."""
     seeds = rows.mapInArrow(lambda it: _seeds(it, s), DEALT)
     matches = seeds.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, DEALT)
-    return cut(matches.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _chains(it, s), CHAINS))
+    return cut_clear(matches.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _chains(it, s), CHAINS))
 
 
 def first_passages(chains: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """PASSAGES of the chains of CHAINS."""
     sliced = chains.where(F.size("chains") > 0).select("doc", "chains").join(texts, "doc").mapInArrow(lambda it: _slices(it, s), "doc bigint, other bigint, matches array<struct<a:int,b:int>>, begin int, words binary")
     both = sliced.join(texts.select(F.col("doc").alias("other"), F.col("text").alias("first_text")), "other").select("doc", "other", "matches", "begin", "words", "first_text")
-    return cut(both.mapInArrow(lambda it: _align(it, s), PASSAGES))
+    return cut_clear(both.mapInArrow(lambda it: _align(it, s), PASSAGES))
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """doc, start, end, other, other_start, other_end, same: aligned passages of each text in those that have their seeds first, and last before it, and in all that may add words to these."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     chains = all_chains(rows, s)
-    forget(rows)
     texts = rows.select("doc", packed("text").alias("text"))
     found = first_passages(chains, texts, s)
-    forget(rows)
     more = other_pairs(chains, found, texts, s)
     return found if more is None else found.unionByName(more)
 

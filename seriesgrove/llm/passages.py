@@ -26,7 +26,8 @@
    any, and seeds on both sides were not linked with all who have them, all
    earlier texts that have any two such seeds equally near, in that order, are
    found by a join on the two seeds together, and are chained and aligned with
-   the text over the whole of both. Left out are only pairs whose seeds lie so
+   the text over the whole of both. Pairs of seeds that all the same texts have
+   at the same distances are joined as one. Left out are only pairs whose seeds lie so
    much further apart in one text that no chain over them can agree well enough.
    There is no cap on the rest.
 
@@ -691,18 +692,32 @@ def wanted(at: np.ndarray, seed: np.ndarray, rank: np.ndarray, cover: np.ndarray
     return out
 
 
+SPOTS = "array<struct<step:bigint,room:bigint>>"
+
+
+def spots(of: np.ndarray, key: np.ndarray, step: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The different (of, key), and the SPOTS of each: its steps, each with the greatest room, which allows what a smaller one does."""
+    by = order(of, key, step, size)
+    of, key, step, size = of[by], key[by], step[by], size[by]
+    new = np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))[: len(of)]
+    last = np.append(new[1:] | (step[1:] != step[:-1]), True)[: len(of)]
+    heads = np.flatnonzero(new)
+    ends = np.append(0, np.cumsum(last))[np.append(heads, len(of))]
+    return of[heads], key[heads], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(step[last]), pa.array(size[last])], ["step", "room"]))
+
+
 @textops.tidy
 def _wanted(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, n, seen, cover): doc, kind, key, step, room."""
+    """Rows (doc, n, seen, cover): doc, kind, key, spots; of a text and a key one row."""
     for batch in batches:
-        docs, kinds, rows = [], [], []
-        for doc, n, seen, cover in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        own: dict[int, list[np.ndarray]] = {kind: [np.zeros((4, 0), np.int64)] for kind in (BOTH, BEFORE, AFTER)}
+        for i, (n, seen, cover) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
             for kind, found in wanted(*joined([spread(seen, n)]), np.array([(c["start"], c["end"]) for c in cover], np.int64), s):
-                docs.append(np.full(len(found[0]), doc, np.int64))
-                kinds.append(np.full(len(found[0]), kind, np.int32))
-                rows.append(np.stack(found))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(kinds)), *map(pa.array, np.concatenate(rows, axis=1))], names=["doc", "kind", "key", "step", "room"])
+                own[kind].append(np.stack([np.full(len(found[0]), i), *found]))
+        for kind, rows in own.items():
+            of, keys, held = spots(*np.concatenate(rows, axis=1))
+            if len(of):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.full(len(of), kind, np.int32)), pa.array(keys), held], names=["doc", "kind", "key", "spots"])
 
 
 SLICE = BITS - 5
@@ -722,7 +737,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @textops.tidy
 def _carriers(batches: Iterator[pa.RecordBatch], parts: dict[int, bytes], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, n, seen): other, key, step, room of any two of its seeds that may be wanted."""
+    """Rows (doc, n, seen): other, and key and SPOTS of any two of its seeds that may be wanted; of a text and a key one row."""
     bits = np.zeros((1 << BITS) // 8, np.uint8)
     for part, data in parts.items():
         size = (1 << SLICE) // 8
@@ -744,8 +759,8 @@ def _carriers(batches: Iterator[pa.RecordBatch], parts: dict[int, bytes], s: Set
             kept = may(both)
             i, j, both = i[kept], j[kept], both[kept]
             if len(i):
-                rows = distinct(of[i], both, at[j] - at[i], room(far, s)[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(rows[0])), *map(pa.array, rows[1:])], names=["other", "key", "other_step", "other_room"])
+                owners, keys, held = spots(of[i], both, at[j] - at[i], room(far, s)[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(owners)), pa.array(keys), held], names=["other", "key", "other_spots"])
 
 
 def met(mine: np.ndarray, theirs: np.ndarray, known: dict, of: int) -> np.ndarray:
@@ -797,10 +812,19 @@ def _pairs(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
 PASSAGES = "doc bigint, start bigint, end bigint, other bigint, other_start bigint, other_end bigint, same bigint"
 
 
+def merged(asked: DataFrame, carriers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with one key for all keys that the same texts have at the same spots, as those of the seeds of one phrase: (doc, key, spots), (key, other, other_spots)."""
+    total = lambda *columns: F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    sets = carriers.groupBy("key").agg(F.count("*").alias("n"), total("other", "other_spots").alias("a"), total("other_spots", "other").alias("b"))
+    kinds = cut_clear(sets.select("key", F.min("key").over(Window.partitionBy("n", "a", "b")).alias("kind")))
+    asked = asked.join(kinds, "key").groupBy("doc", F.col("kind").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"))
+    return asked, carriers.join(kinds.where("key = kind").select("key"), "key", "left_semi")
+
+
 def other_pairs(chains: DataFrame, found: DataFrame, texts: DataFrame, s: Settings) -> DataFrame | None:
     """Passages of the texts that have two seeds around words that no passage has; None if there are no such words."""
     cover = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
-    keys = cut_clear(chains.where("open").select("doc", "n", "seen").join(cover, "doc").mapInArrow(lambda it: _wanted(it, s), "doc bigint, kind int, key bigint, step bigint, room bigint"))
+    keys = cut_clear(chains.where("open").select("doc", "n", "seen").join(cover, "doc").mapInArrow(lambda it: _wanted(it, s), f"doc bigint, kind int, key bigint, spots {SPOTS}"))
     place = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)), SLICE)
     parts: dict[int, bytes] = {}
     for r in keys.select("key").distinct().repartition(32, place).mapInArrow(_bits, "part int, bits binary").collect():
@@ -808,12 +832,15 @@ def other_pairs(chains: DataFrame, found: DataFrame, texts: DataFrame, s: Settin
     if not parts:
         return None
     held = found.sparkSession.sparkContext.broadcast(parts)
-    carriers = chains.select("doc", "n", "seen").mapInArrow(lambda it: _carriers(it, held.value, s), "other bigint, key bigint, other_step bigint, other_room bigint")
+    asked = keys.where(F.col("kind") == BOTH).select("doc", "key", "spots")
+    carriers = chains.select("doc", "n", "seen").mapInArrow(lambda it: _carriers(it, held.value, s), f"other bigint, key bigint, other_spots {SPOTS}")
+    carriers = cut_clear(carriers.join(asked.select("key").distinct(), "key", "left_semi"))
+    asked, carriers = merged(asked, carriers)
     # An agreeing chain has at most as many equal words as either room, and a step that is longer in one text leaves the
     # difference unequal there.
-    most = (1 / s.identity - 1) * F.least("room", "other_room")
-    apart_by = F.abs(F.col("step") - F.col("other_step"))
-    pairs = keys.where(F.col("kind") == BOTH).drop("kind").join(carriers, "key").where((F.col("other") < F.col("doc")) & (apart_by <= most)).select("doc", "other").distinct()
+    fits = lambda x, y: F.abs(x["step"] - y["step"]) <= (1 / s.identity - 1) * F.least(x["room"], y["room"])
+    some = F.exists("spots", lambda x: F.exists("other_spots", lambda y: fits(x, y)))
+    pairs = asked.join(carriers, "key").where((F.col("other") < F.col("doc")) & some).select("doc", "other").distinct()
     both = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("other"), F.col("text").alias("first_text")), "other")
     return both.select("doc", "other", "text", "first_text").mapInArrow(lambda it: _pairs(it, s), PASSAGES)
 

@@ -80,3 +80,19 @@ def test_chains_and_passages_of_many_pairs_are_those_of_each():
     got = sorted((int(c), *(f - begin[2 * owners[c] + np.array([0, 0, 1, 1])]).tolist(), int(n)) for c, *f, n in zip(found[0], *found[1], strict=True))
     want = sorted((c, *map(int, f)) for c, own in enumerate(cuts) for f in passages.agreed(texts[2 * owners[c]], texts[2 * owners[c] + 1], own, 0, 0, s))
     assert got == want and len(want) > 200
+
+
+def test_a_text_that_repeats_itself_has_one_row_a_key():
+    n = np.arange(60)
+    of, key, held = passages.spots(n // 30, 0 * n + 5, n % 30 // 2, n)
+    assert of.tolist() == [0, 1] and key.tolist() == [5, 5]
+    assert [[(x["step"], x["room"]) for x in row] for row in held.to_pylist()] == [[(i, 30 * d + 2 * i + 1) for i in range(15)] for d in (0, 1)]
+
+
+def test_keys_that_the_same_texts_have_are_joined_as_one(spark):
+    at = lambda step: [(step, 40)]
+    asked = spark.createDataFrame([(9, k, at(20)) for k in range(1, 11)] + [(9, 11, at(20)), (9, 12, at(20)), (8, 3, at(21))], f"doc bigint, key bigint, spots {passages.SPOTS}")
+    carriers = spark.createDataFrame([(other, k, at(20)) for k in range(1, 11) for other in range(1, 5)] + [(1, 11, at(20))] + [(o, 12, at(21)) for o in range(1, 5)], f"other bigint, key bigint, other_spots {passages.SPOTS}")
+    one, held = passages.merged(asked, carriers)
+    assert sorted((r.doc, r.key, [tuple(x) for x in r.spots]) for r in one.collect()) == [(8, 1, at(21)), (9, 1, at(20)), (9, 11, at(20)), (9, 12, at(20))]
+    assert sorted((r.key, r.other) for r in held.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (11, 1), (12, 1), (12, 2), (12, 3), (12, 4)]

@@ -813,12 +813,25 @@ PASSAGES = "doc bigint, start bigint, end bigint, other bigint, other_start bigi
 
 
 def merged(asked: DataFrame, carriers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with one key for all keys that the same texts have at the same spots, as those of the seeds of one phrase: (doc, key, spots), (key, other, other_spots)."""
-    total = lambda *columns: F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
-    sets = carriers.groupBy("key").agg(F.count("*").alias("n"), total("other", "other_spots").alias("a"), total("other_spots", "other").alias("b"))
-    kinds = cut_clear(sets.select("key", F.min("key").over(Window.partitionBy("n", "a", "b")).alias("kind")))
-    asked = asked.join(kinds, "key").groupBy("doc", F.col("kind").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"))
-    return asked, carriers.join(kinds.where("key = kind").select("key"), "key", "left_semi")
+    """Both with one key for all keys that the same texts have at the same spots, as those of the seeds of one phrase: (doc, key, spots), (key, other, other_spots).
+
+    Spots are the same if all steps of a key are longer or shorter by one number than those of the other key; in the
+    result a step is what it is above the least one that its key has in any text.
+    """
+    least = F.col("other_spots")[0]["step"]
+    moved = lambda name, by: F.transform(name, lambda x: F.struct((x["step"] - by).alias("step"), x["room"].alias("room")))
+    wide = carriers.select("key", least.alias("least"), *(F.xxhash64(F.lit(i), "other", moved("other_spots", least)).cast("decimal(20,0)").alias(f"h{i}") for i in (0, 1, 2)))
+    sets = wide.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("least").alias("base"), F.sum("h0").alias("a"),
+        *(F.sum(F.col(f"h{i}")).alias(f"w{i}") for i in (1, 2)), *(F.sum(F.col(f"h{i}") * F.col("least").cast("decimal(10,0)")).alias(f"s{i}") for i in (1, 2)),
+    )
+    # The sums are weighted by hashes of the texts, so that they tell which text has which step.
+    same = ["n", "a", *(f"r{i}" for i in (1, 2))]
+    sets = sets.select("key", "base", "n", "a", *((F.col(f"s{i}") - F.col(f"w{i}").cast("decimal(28,0)") * F.col("base").cast("decimal(10,0)")).alias(f"r{i}") for i in (1, 2)))
+    kinds = cut_clear(sets.select("key", "base", F.min("key").over(Window.partitionBy(*same)).alias("kind")))
+    asked = asked.join(kinds, "key").select("doc", F.col("kind").alias("key"), moved("spots", F.col("base")).alias("spots"))
+    asked = asked.groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"))
+    return asked, carriers.join(kinds.where("key = kind").select("key", "base"), "key").select("key", "other", moved("other_spots", F.col("base")).alias("other_spots"))
 
 
 def other_pairs(chains: DataFrame, found: DataFrame, texts: DataFrame, s: Settings) -> DataFrame | None:

@@ -90,9 +90,9 @@ def test_a_text_that_repeats_itself_has_one_row_a_key():
 
 
 def test_keys_that_the_same_texts_have_are_joined_as_one(spark):
-    at = lambda step: [(step, 40)]
-    asked = spark.createDataFrame([(9, k, at(20)) for k in range(1, 11)] + [(9, 11, at(20)), (9, 12, at(20)), (8, 3, at(21))], f"doc bigint, key bigint, spots {passages.SPOTS}")
-    carriers = spark.createDataFrame([(other, k, at(20)) for k in range(1, 11) for other in range(1, 5)] + [(1, 11, at(20))] + [(o, 12, at(21)) for o in range(1, 5)], f"other bigint, key bigint, other_spots {passages.SPOTS}")
-    one, held = passages.merged(asked, carriers)
-    assert sorted((r.doc, r.key, [tuple(x) for x in r.spots]) for r in one.collect()) == [(8, 1, at(21)), (9, 1, at(20)), (9, 11, at(20)), (9, 12, at(20))]
-    assert sorted((r.key, r.other) for r in held.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (11, 1), (12, 1), (12, 2), (12, 3), (12, 4)]
+    at = lambda step, room=40: [(step, room)]
+    asked = spark.createDataFrame([(9, k, at(20 + k)) for k in range(1, 11)] + [(9, 11, at(20)), (9, 12, at(20)), (8, 3, at(30)), (8, 13, at(7))], f"doc bigint, key bigint, spots {passages.SPOTS}")
+    held = [(other, k, at(20 + k + other)) for k in range(1, 11) for other in range(1, 5)] + [(1, 11, at(20))] + [(o, 12, at(21 - o)) for o in range(1, 5)] + [(o, 13, at(20 + o, 41)) for o in range(1, 5)]
+    one, carriers = passages.merged(asked, spark.createDataFrame(held, f"other bigint, key bigint, other_spots {passages.SPOTS}"))
+    assert sorted((r.doc, r.key, [tuple(x) for x in r.spots]) for r in one.collect()) == [(8, 1, at(6)), (8, 13, at(-14)), (9, 1, at(-1)), (9, 11, at(0)), (9, 12, at(3))]
+    assert sorted((r.key, r.other, *r.other_spots[0]) for r in carriers.collect()) == [(1, o, o - 1, 40) for o in range(1, 5)] + [(11, 1, 0, 40)] + [(12, o, 4 - o, 40) for o in range(1, 5)] + [(13, o, o - 1, 41) for o in range(1, 5)]
